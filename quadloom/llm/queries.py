@@ -54,7 +54,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    out = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), with_text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
