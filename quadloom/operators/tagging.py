@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quadloom.functions.uris import tokens
 
 SUFFIXES = ("ational", "ization", "fulness", "ously", "ments", "ation", "ness", "ings", "ment", "ies", "ing", "ers", "ed", "es", "ly", "er", "s")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem(words: pd.Series) -> pd.Series:
     """Strips one known ending of a word that leaves at least three letters."""
     return words.map(lambda w: next((w[: -len(x)] for x in SUFFIXES if w.endswith(x) and len(w) - len(x) >= 3), w))
