@@ -22,12 +22,11 @@ KINDS = {"class": f"{OWL}Class", "datatype": f"{RDFS}Datatype", "data_property":
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into the session's shared folder; one of our own only where none is set."""
+    """checkpoint() into the folder named in spark.checkpoint.dir; one of our own only where the session names none."""
     spark: SparkSession = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        folder = tempfile.mkdtemp(prefix="quadloom-", dir="/tmp")
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadloom-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
     return df.checkpoint()
 
 
