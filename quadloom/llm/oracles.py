@@ -73,3 +73,34 @@ r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.v FRO
 SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
 FROM d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+
+def _distance(p: str, q: str) -> str:
+    def part(x: str, y: str) -> str:
+        return f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
+
+    return f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda z: {part('z[1]', 'z[2]')} + {part('z[2]', 'z[1]')})) / 2, 0))"
+
+
+def _shares(counts: str) -> str:
+    return f"list_transform({counts}, lambda x: x / CAST(greatest(list_sum({counts}), 1) AS DOUBLE))"
+
+
+QUALITY = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, {WORDS} AS w FROM documents),
+c AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM d) WHERE length(x) <= 5 GROUP BY ALL),
+k AS (SELECT lang, list(x ORDER BY n DESC, x)[:24] AS common FROM c GROUP BY lang),
+t AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM t WHERE (doc_id, g) IN (SELECT doc_id, g FROM t GROUP BY ALL HAVING count(*) > 1)) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+h AS (SELECT doc_id, lang, i, count(*) AS n FROM (SELECT doc_id, d.lang, list_position(common, unnest(w)) AS i FROM d JOIN k ON k.lang = d.lang) WHERE i IS NOT NULL GROUP BY ALL),
+m AS (SELECT d.doc_id, d.lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  [len(regexp_extract_all(text, '[A-Z]')), len(regexp_extract_all(text, '[0-9]')), len(regexp_extract_all(text, '[!-/:-@\\[-`{{-~]')), len(regexp_extract_all(text, '[^\x00-\x7F]')), length(text) - length(array_to_string(w, ''))] AS cl, length(text) AS chars,
+  list_transform(range(1, coalesce(len(common), 0) + 1), lambda j: coalesce(hits[j], 0)) AS wo
+  FROM d LEFT JOIN k ON k.lang = d.lang LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN (SELECT doc_id, map_from_entries(list((i, n))) AS hits FROM h GROUP BY doc_id) x USING (doc_id)),
+v AS (SELECT * REPLACE (list_append(cl, chars - list_sum(cl)) AS cl, list_append(wo, n_words - coalesce(list_sum(wo), 0)) AS wo) FROM m),
+f AS (SELECT lang, {_shares('cl')} AS class_shares, {_shares('wo')} AS word_shares FROM (SELECT lang, sum(n_words) AS n,
+  [{', '.join(f'sum(cl[{i}])' for i in range(1, 7))}] AS cl, [{', '.join(f'sum(coalesce(wo[{i}], 0))' for i in range(1, 26))}][:max(len(wo))] AS wo FROM v GROUP BY lang) WHERE n >= 2000),
+j AS (SELECT v.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN n_words >= 100 AND class_shares IS NOT NULL THEN {_distance(_shares('cl'), 'class_shares')} ELSE 0 END AS cd, CASE WHEN n_words >= 100 AND word_shares IS NOT NULL THEN {_distance(_shares('wo'), 'word_shares')} ELSE 0 END AS wd FROM v LEFT JOIN f ON f.lang = v.lang)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND cd <= 0.25 AND wd <= 0.32 AS kept FROM j
+"""
