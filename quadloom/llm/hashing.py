@@ -12,7 +12,7 @@ _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 class WordHashes(dict):
     """64-bit hash of each word seen; emptied when it grows past `most` words, so a task's memory is bounded."""
 
-    def __init__(self, most: int = 500_000, seed: int = 0):
+    def __init__(self, most: int = 200_000, seed: int = 0):
         super().__init__()
         self.most, self.seed = most, seed
 

@@ -91,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_decontamination, op2_mixing, op3_substring_dedup, op4_personal_data, op5_toxicity, op6_sharding, op7_quality, op8_ngram_join, op9_chat, op10_token_counts)
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": oracles.MIXING, "op3_substring_dedup": oracles.DEDUP, "op8_ngram_join": oracles.NGRAM_JOIN, "op9_chat": oracles.CHAT}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": oracles.MIXING, "op3_substring_dedup": oracles.DEDUP, "op7_quality": oracles.QUALITY, "op8_ngram_join": oracles.NGRAM_JOIN, "op9_chat": oracles.CHAT}

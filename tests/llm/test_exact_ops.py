@@ -12,7 +12,7 @@ import pytest
 
 from quadloom.llm import queries
 from quadloom.llm.components import components
-from quadloom.llm.ngram_join import grow_tree, near_duplicate_classes, traverse
+from quadloom.llm.ngram_join import grow_tree, near_duplicate_classes, posted_count, traverse
 from quadloom.llm.sharding import assign_shards
 from quadloom.llm.substring_dedup import remove_repeated_spans
 from quadloom.llm.tokens import PrefixCounter, longest_prefix, prefix_token_counts
@@ -129,9 +129,11 @@ def test_tree_traversal_misses_no_pair():
     rng = np.random.default_rng(3)
     sets = [set(rng.choice(60, rng.integers(5, 30), replace=False).tolist()) for _ in range(80)]
     sets += [s | {99} for s in sets[:20]]
-    rows = [(i, len(s), i, sum({1 << (x % 32): 0 for x in s})) for i, s in enumerate(sets)]
-    root = grow_tree(rows)
-    found = set(traverse(root, root, 80))
+    posted = [sorted(s)[: posted_count(len(s), 80)] for s in sets]
+    bits = lambda xs, size: sum({1 << (x % size): 0 for x in xs})
+    rows = [(i, len(s), i, bits(s, 32), bits(p, 64)) for i, (s, p) in enumerate(zip(sets, posted))]
+    root = grow_tree(rows, 80)
+    found = {(x[0], y[0]) for x, y in traverse(root, root, 80)}
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
     assert want <= found and len(found) < len(sets) * (len(sets) - 1) // 2
 
