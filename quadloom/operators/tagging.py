@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quadloom.functions.uris import tokens
+from quadloom.operators.ontology import cut
 
 SUFFIXES = ("ational", "ization", "fulness", "ously", "ments", "ation", "ness", "ings", "ment", "ies", "ing", "ers", "ed", "es", "ly", "er", "s")
 
@@ -30,8 +31,8 @@ def tag_concepts(documents: DataFrame, labels: DataFrame, stemming: bool = False
     """(doc_id, concept, first, last): word spans [first, last) of documents (doc_id, text) that equal a label of labels
     (concept, label) of 1 to `longest` words. Longer matches win, then earlier ones; a place is in one match at most.
 
-    n-grams are only built where a label's first word stands, so the blow-up is bounded by real candidates. Choosing is
-    greedy within a document, over that document's few matches.
+    n-grams are only built where a label's first word stands, so the blow-up is bounded by real candidates. Lengths are
+    taken from the longest down, each without the places that are covered already.
     """
     texts = documents.select(F.col("doc_id").alias("row"), tokens(F.col("text")).alias("w"))
     names = labels.select(F.monotonically_increasing_id().alias("row"), "concept", tokens(F.col("label")).alias("w")).filter(F.size("w").between(1, longest))
@@ -41,9 +42,30 @@ def tag_concepts(documents: DataFrame, labels: DataFrame, stemming: bool = False
     heads = names.select("head", "n").distinct()
     places = texts.select("row", "w", F.posexplode("w").alias("first", "head")).join(heads, "head")
     grams = places.filter(F.col("first") + F.col("n") <= F.size("w")).select("row", "first", "n", F.array_join(F.slice("w", F.col("first") + 1, F.col("n")), " ").alias("gram"))
-    hits = grams.join(names.select("concept", "gram"), "gram").select(F.col("row").alias("doc_id"), (-F.col("n")).alias("k"), "first", "concept")
-    chosen = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("k", "first", "concept"))).alias("l"))
-    free = lambda taken, x: ~F.exists(taken, lambda t: (x["first"] < t["first"] - t["k"]) & (t["first"] < x["first"] - x["k"]))
-    empty = F.array().cast("array<struct<k:int,first:int,concept:string>>")
-    picked = F.aggregate("l", empty, lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
-    return chosen.select("doc_id", F.inline(picked)).select("doc_id", "concept", "first", (F.col("first") - F.col("k")).alias("last"))
+    hits = grams.join(names.select("concept", "gram"), "gram").groupBy(F.col("row").alias("doc_id"), "first", "n").agg(F.min("concept").alias("concept"))
+    hits, taken = cut(hits), None
+    for n in range(longest, 0, -1):
+        mine = hits.filter(F.col("n") == n)
+        span = F.explode(F.sequence("first", F.col("first") + n - 1)).alias("place")
+        if taken is not None:
+            covered = taken.select("doc_id", F.explode(F.sequence("first", F.col("last") - 1)).alias("place"))
+            under = mine.select("doc_id", "first", span).join(covered, ["doc_id", "place"], "left_semi").select("doc_id", "first").distinct()
+            mine = mine.join(under, ["doc_id", "first"], "left_anti")
+        chosen = mine.select("doc_id", "concept", "first", (F.col("first") + n).alias("last"))
+        if n > 1:
+            chosen = _leftmost(chosen, n)
+        taken = chosen if taken is None else taken.union(chosen)
+    return taken
+
+
+def _leftmost(spans: DataFrame, n: int) -> DataFrame:
+    """Spans of one length without those that an earlier chosen span of their document overlaps: one pass over sorted places."""
+    empty = F.array().cast("array<struct<first:int,concept:string>>")
+    start = F.struct(F.lit(-n).alias("at"), empty.alias("kept"))
+
+    def step(state, x):
+        kept = F.when(x["first"] >= state["at"] + n, F.concat(state["kept"], F.array(x))).otherwise(state["kept"])
+        return F.struct(F.when(x["first"] >= state["at"] + n, x["first"]).otherwise(state["at"]).alias("at"), kept.alias("kept"))
+
+    lists = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "concept"))).alias("l"))
+    return lists.select("doc_id", F.inline(F.aggregate("l", start, step)["kept"])).select("doc_id", "concept", "first", (F.col("first") + n).alias("last"))
