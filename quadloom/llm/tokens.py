@@ -12,7 +12,10 @@ so counts of earlier words are final and words can be solved once and kept.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -20,84 +23,124 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+#: Prefixes up to this length keep their tables.
+SHARED = 8
 _GROUPS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+class _Groups(dict):
+    """Steps of the prefix counts of each word seen (with its space mark), as packed 16-bit numbers."""
+
+    def __init__(self, counter: PrefixCounter, most: int):
+        super().__init__()
+        self.counter, self.most = counter, most
+
+    def __missing__(self, word: str) -> bytes:
+        steps = self.counter.group_steps(MARK + word)
+        if len(word) < 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = steps
+        return steps
+
+
 class PrefixCounter:
     """Prefix counts under a sentencepiece BPE model with byte fallback and identity normalisation."""
 
-    def __init__(self, model_file: str, most: int = 200_000):
+    def __init__(self, model_file: str, most: int = 600_000):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         ids = range(model.get_piece_size())
         plain = [i for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        self.scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
-        if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.scores):
+        self.ids = {model.id_to_piece(i): i for i in plain}
+        if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a piece of this model crosses a space, so words cannot be solved one by one")
-        self.longest = max(map(len, self.scores))
-        self.most, self._pairs, self._groups = most, {}, {}
-
-    def cost(self, piece: str) -> int:
-        """Tokens of one piece: a character that the model lacks is one token for each of its UTF-8 bytes."""
-        return 1 if piece in self.scores else len(piece.encode())
-
-    def merged(self, text: str) -> list[str]:
-        """Greedy merging of a short text, best score first, leftmost on ties."""
-        parts, scores = list(text), self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        self.reach: dict[str, int] = {}  # length of the longest piece by its last three characters
+        for p in self.ids:
+            self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 2))
+        self.most, self._pairs, self._ends = most, {}, {}
+        self._groups = _Groups(self, most)
+        bare = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+        bare.normalizer_spec.add_dummy_prefix = False
+        self._bare = sentencepiece.SentencePieceProcessor(model_proto=bare.SerializeToString())
 
     def may_follow(self, left: str, right: str) -> bool:
+        """Whether two neighbouring pieces (or nothing and a piece) are the encoding of their joint text. A character that the
+        model lacks merges with nothing."""
         key = (left, right)
         known = self._pairs.get(key)
         if known is None:
             if len(self._pairs) >= self.most:
                 self._pairs.clear()
-            known = self._pairs[key] = self.merged(left + right) == [left, right]
+            if right not in self.ids or left and left not in self.ids:
+                known = True
+            else:
+                known = self._bare.EncodeAsIds(left + right) == ([self.ids[left]] if left else []) + [self.ids[right]]
+            self._pairs[key] = known
         return known
 
-    def group_counts(self, group: str) -> np.ndarray:
-        """Token count of each prefix of one piece group, from length 1 on."""
-        known = self._groups.get(group)
-        if known is not None:
-            return known
-        n, last, counts = len(group), [""], [0]
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = group[start:end]
-                if (end - start == 1 or piece in self.scores) and (self.may_follow(last[start], piece) if start else len(piece) == 1 or self.merged(piece) == [piece]):
-                    last.append(piece)
-                    counts.append(counts[start] + self.cost(piece))
-                    break
+    def group_steps(self, group: str) -> bytes:
+        """Change of the token count with each character of one piece group. The table of a prefix (last pieces and counts) is
+        the same in every word that begins with it, so tables of short prefixes are shared."""
+        ids, pairs, ends, n = self.ids, self._pairs, self._ends, len(group)
+        done, found = min(n, SHARED), None
+        while done and (found := ends.get(group[:done])) is None:
+            done -= 1
+        last, counts = (list(found[0]), list(found[1])) if found else ([""], [0])
+        for end in range(done + 1, n + 1):
+            # only one piece fits, so likely ones come first: the last piece grown by a character, then that character alone
+            char = group[end - 1]
+            piece = last[-1] + char
+            if piece in ids:
+                start = end - len(piece)
+                fits = pairs.get((last[start], piece))
+                if fits is None:
+                    fits = self.may_follow(last[start], piece)
             else:
-                raise RuntimeError("no piece can end this prefix")
-        out = np.array(counts[1:], np.int32)
-        if n <= 64:
-            if len(self._groups) >= self.most:
-                self._groups.clear()
-            self._groups[group] = out
-        return out
+                fits = False
+            if not fits:
+                piece, start = char, end - 1
+                fits = pairs.get((last[start], piece))
+                if fits is None:
+                    fits = self.may_follow(last[start], piece)
+            if not fits:
+                start, piece = self._longer(group, end, last)
+            last.append(piece)
+            counts.append(counts[start] + (1 if piece in ids else len(piece.encode())))
+            if end <= SHARED:
+                if len(ends) >= self.most:
+                    ends.clear()
+                ends[group[:end]] = tuple(last), tuple(counts)
+        return array("h", map(sub, counts[1:], counts)).tobytes()
+
+    def _longer(self, group: str, end: int, last: list[str]) -> tuple[int, str]:
+        ids, pairs = self.ids, self._pairs
+        for start in range(max(0, end - self.reach.get(group[max(0, end - 3) : end], 2)), end - 1):
+            piece = group[start:end]
+            if piece in ids:
+                fits = pairs.get((last[start], piece))
+                if self.may_follow(last[start], piece) if fits is None else fits:
+                    return start, piece
+        raise RuntimeError("no piece can end this prefix")
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """counts[i] = tokens of text[:i + 1]. The model puts one space mark before a text, so it starts a group."""
         if not text:
             return np.zeros(0, np.int32)
-        groups = _GROUPS.findall(MARK + text.replace(" ", MARK))
-        parts = [self.group_counts(g) for g in groups]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        done = np.cumsum(np.fromiter((p[-1] for p in parts), np.int64, len(parts)))
-        counts = np.concatenate(parts)
-        counts += np.repeat(np.concatenate(([0], done[:-1])), sizes).astype(np.int32)
-        return counts[1:]
+        if text[0] == " " or "  " in text or MARK in text:
+            words = [g[1:] for g in _GROUPS.findall(MARK + text.replace(" ", MARK))]
+        else:
+            words = text.split(" ")
+        steps = b"".join(map(self._groups.__getitem__, words))
+        return np.cumsum(np.frombuffer(steps, np.int16), dtype=np.int32)[1:]
+
+
+@lru_cache(1)
+def counter_for(model_file: str) -> PrefixCounter:
+    """One counter for each Python worker, so its tables serve all tasks of the worker."""
+    return PrefixCounter(model_file)
 
 
 def longest_prefix(counts: np.ndarray, budget: int) -> int:
@@ -108,7 +151,7 @@ def longest_prefix(counts: np.ndarray, budget: int) -> int:
 
 def _count(model_file: str, budget: int, with_prefixes: bool):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(model_file)
+        counter = counter_for(model_file)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             counts = [counter.prefix_counts(t) for t in texts]
