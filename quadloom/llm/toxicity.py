@@ -34,7 +34,8 @@ SYMBOLS = 27
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "aeiou"}
 _SIGNS = re.escape("".join(LEET))
 _LEET_WORD = re.compile(rf"(?<![\w{_SIGNS}])(?=[\w{_SIGNS}]*[a-z])(?=[\w{_SIGNS}]*[{_SIGNS}][\w{_SIGNS}]*[a-z]|[a-z]*[0-9])[a-z{_SIGNS}]{{3,40}}(?![\w])")
-_DRAWN = re.compile(r"[^\W\d_]*?([^\W\d_])\1{2,}[^\W\d_]*")
+_DRAWN = re.compile(r"(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1{2,}[^\W\d_]*")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _GAPS = re.compile(rf"(?<![\w{_SIGNS}])[a-z{_SIGNS}](?:[ .\-_*]{{1,2}}[a-z{_SIGNS}]){{3,30}}(?![\w{_SIGNS}])")
 _WORD = re.compile(r"[^\W\d_]+")
 _SUSPECT = re.compile(rf"[{_SIGNS}][a-z]|[a-z][0-9]|([^\W\d_])\1\1|(?<!\w)[a-z{_SIGNS}][ .\-_*]{{1,2}}[a-z{_SIGNS}][ .\-_*]")
@@ -53,6 +54,48 @@ def _code_table() -> np.ndarray:
 _CODES = _code_table()
 
 
+def _kind_table() -> np.ndarray:
+    """Bits of each Latin-1 character: 1 small letter a-z, 2 any letter, 4 digit, 8 sign, 16 letter or sign other than *."""
+    table = np.zeros(256, np.uint8)
+    for b in range(256):
+        c = bytes([b]).decode("latin-1")
+        table[b] = ("a" <= c <= "z") + 2 * c.isalpha() + 4 * ("0" <= c <= "9") + 8 * (c in LEET) + 16 * (c.isalpha() or c in LEET and c != "*")
+    return table
+
+
+_KINDS = _kind_table()
+
+
+def may_be_disguised(text: str) -> bool:
+    """A fast test of a lower-case text that no suspicious stretch fails: signs before letters, digits behind them, a letter
+    three times, or single letters with gaps. Characters outside Latin-1 count as letters."""
+    if not text.isascii() and "?" in text:
+        return _SUSPECT.search(text) is not None
+    raw = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+    if len(raw) < 3:
+        return False
+    kind = _KINDS[raw]
+    if (((kind[:-1] & 8) != 0) & ((kind[1:] & 1) != 0)).any() or (((kind[:-1] & 1) != 0) & ((kind[1:] & 4) != 0)).any():
+        return True
+    same = raw[1:] == raw[:-1]
+    if (same[1:] & same[:-1] & (((kind[2:] & 2) != 0) | (raw[2:] == 63))).any() or b"*" in raw.tobytes():
+        return True
+    unit = np.concatenate(([False], (kind & 16) != 0, [False]))
+    alone = unit[1:-1] & ~unit[:-2] & ~unit[2:]
+    return bool((alone[:-2] & alone[2:]).any() or (alone[:-3] & alone[3:]).any())
+
+
+def words_in(text: str) -> set[str]:
+    """Distinct runs of letters."""
+    out: set[str] = set()
+    for token in set(text.split()):
+        if token.isalpha():
+            out.add(token)
+        else:
+            out.update(_WORD.findall(token))
+    return out
+
+
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SYMBOLS**3, np.int64)
     for batch in batches:
@@ -136,11 +179,11 @@ class Restorer:
     def restore(self, text: str) -> str:
         """The text in lower case with its suspicious stretches decoded."""
         text = text.lower()
-        if not _SUSPECT.search(text):
+        if not may_be_disguised(text):
             return text
-        for pattern in (_GAPS, _LEET_WORD, _DRAWN):
+        for pattern in (_GAPS, _LEET_WORD):
             text = pattern.sub(lambda m: self.decode(m[0]), text)
-        return text
+        return _DRAWN.sub(lambda m: self.decode(m[0]), text) if _TRIPLE.search(text) else text
 
 
 def features(word: str) -> list[str]:
@@ -149,7 +192,7 @@ def features(word: str) -> list[str]:
 
 
 def _all_features(text: str, restorer: Restorer) -> set[str]:
-    return {f for w in set(_WORD.findall(restorer.restore(text))) for f in features(w)}
+    return {f for w in words_in(restorer.restore(text)) for f in features(w)}
 
 
 def _count_features(shared, wanted_toxic: int, only):
@@ -216,7 +259,7 @@ def strongest(hits: dict[str, int], misses: dict[str, int], base: float, max_fea
 
 def score_text(text: str | None, restorer: Restorer, lexicon: dict[str, float], starts: set[str]) -> float:
     best = []
-    for word in set(_WORD.findall(restorer.restore(text or ""))):
+    for word in words_in(restorer.restore(text or "")):
         if word[:3] in starts:
             hit = max((lexicon[f] for f in features(word) if f in lexicon), default=0.0)
             if hit:
