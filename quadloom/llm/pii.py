@@ -1,10 +1,11 @@
 """Personal data, and the terms that would reveal it, by information-theoretic sanitisation.
 
 Four kinds of protected entities are found by pattern. Redacting them is not enough if the words near them tell who is
-meant, so the corpus is asked: for an entity e and a term t standing near it in c documents, the pointwise mutual information
+meant, so the corpus is asked: for an entity e and a term t standing near it in c texts, the pointwise mutual information
 log2(N * c / (df(e) * df(t))) says how much of e's information -log2(df(e) / N) the term discloses. A term that discloses at
-least `generalise` of it becomes a placeholder, at least `remove` of it goes. The pair must be seen in `support` different
-texts, so copies of one text prove nothing.
+least `generalise` of it becomes a placeholder, at least `remove` of it goes. No pair is dropped for being rare: one seen in
+fewer than `support` different texts has the missing ones added to df(t), as if t stood in so many more texts without e.
+c, df(e) and N count different texts, and df(t) takes copies of the pair's texts as one, so copies of one text prove nothing.
 
 Only the surroundings of entities and one count per candidate term are shuffled; all sums are combined map-side, so an
 entity or term that stands in a third of all documents is no hot group.
@@ -123,16 +124,17 @@ def find_personal_data(docs: DataFrame, support: int = 3, generalise: float = 0.
     near = found.select("doc_id", "text_key", F.explode("contexts").alias("c")).select("doc_id", "text_key", "c.*")
     seen = near.groupBy("entity", "term", "doc_id", "text_key").agg(F.lit(1).alias("one"))
     texts = seen.groupBy("entity", "term", "text_key").agg(F.count("*").alias("docs"))
-    pairs = stored(texts.groupBy("entity", "term").agg(F.sum("docs").alias("c"), F.count("*").alias("texts")).filter(F.col("texts") >= support), "pairs")
-    entities = near.select("entity", "doc_id", "text_key").groupBy("entity", "doc_id", "text_key").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("df_e"))
+    pairs = stored(texts.groupBy("entity", "term").agg(F.sum("docs").alias("c"), F.count("*").alias("texts")), "pairs")
+    entities = near.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
     terms = stored(pairs.select("term").distinct(), "terms")
     in_docs = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{3,}"), F.lit(0)))).alias("term"))
     few = small_side(terms)
     # few terms: keep only them before counting; many: count all words first, then join
     counted = in_docs.join(few, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t")) if few is not terms else in_docs.groupBy("term").agg(F.count("*").alias("df_t")).join(terms, "term", "left_semi")
-    n = F.lit(float(found.count()))
+    n = F.lit(float(found.select("text_key").distinct().count()))
     told = pairs.join(entities, "entity").join(counted, "term")
-    told = told.withColumn("share", F.log2(n * F.col("c") / (F.col("df_e") * F.col("df_t"))) / F.greatest(F.log2(n / F.col("df_e")), F.lit(1e-9)))
+    df_t = F.col("df_t") - F.col("c") + F.greatest("texts", F.lit(support))
+    told = told.withColumn("share", F.log2(n * F.col("texts") / (F.col("df_e") * df_t)) / F.greatest(F.log2(n / F.col("df_e")), F.lit(1e-9)))
     told = stored(told.filter(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")), "disclosing")
     hits = near.join(told, ["entity", "term"]).groupBy("doc_id", "text_key", "first", "last").agg(F.max("action").alias("action"))
     hits = hits.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("first", "last", "action"))).alias("terms"))

@@ -177,6 +177,13 @@ def test_disclosing_terms(spark):
     assert find_personal_data(odd(spark, [])).count() == 0 and find_personal_data(odd(spark)).count() == len(ODD)
 
 
+def test_entities_of_one_text_have_disclosing_terms(spark):
+    docs = [(i, f"plain words about the day number {i}") for i in range(2000)] + [(5000 + k, "the day of Brandlhuber, reached by anna@b.org about the words") for k in range(9)]
+    found = find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).filter("size(terms) > 0").collect()
+    assert {dict(docs)[r.doc_id][t.first : t.last] for r in found for t in r.terms} == {"Brandlhuber", "reached"} and len(found) == 9
+    assert queries.op4_personal_data(spark, "/root/testdata/sf0.1").filter("spans like '%term:%'").count() > 0
+
+
 def test_viterbi_restores_disguised_words(spark):
     texts = list(texts_of(spark, MEDIUM).values())
     import pyarrow as pa
