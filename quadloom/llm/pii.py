@@ -1,14 +1,15 @@
 """Personal data, and the terms that would reveal it, by information-theoretic sanitisation.
 
-Four kinds of protected entities are found by pattern. Redacting them is not enough if the words near them tell who is
-meant, so the corpus is asked: for an entity e and a term t standing near it in c texts, the pointwise mutual information
+Four kinds of protected entities are found by pattern. Redacting them is not enough if the words around them tell who is
+meant, so the corpus is asked: for an entity e and a term t standing with it in c texts, the pointwise mutual information
 log2(N * c / (df(e) * df(t))) says how much of e's information -log2(df(e) / N) the term discloses. A term that discloses at
-least `generalise` of it becomes a placeholder, at least `remove` of it goes. No pair is dropped for being rare: one seen in
+least `generalise` of it becomes a placeholder, at least `remove` of it goes, wherever it stands in a text with e. No pair is dropped for being rare: one seen in
 fewer than `support` different texts has the missing ones added to df(t), as if t stood in so many more texts without e.
 c, df(e) and N count different texts, and df(t) takes copies of the pair's texts as one, so copies of one text prove nothing.
 
-Only the surroundings of entities and one count per candidate term are shuffled; all sums are combined map-side, so an
-entity or term that stands in a third of all documents is no hot group.
+Only texts that hold an entity and one count per term are shuffled. A term can disclose e only if df(t) is at most
+N^(1 - generalise) df(e)^generalise more than e's documents, so commoner terms of a text are left out before its terms meet its
+entities: no pair that could disclose is lost, and no term of a third of all documents is a hot group unless an entity is.
 
 A null text is empty. Rows are read one by one; repeated rows get the same spans; a null id is a value like any other. Spans
 are in code points, end exclusive. Extra columns are ignored; an empty table gives no rows.
@@ -17,6 +18,7 @@ are in code points, end exclusive. Extra columns are ignored; an empty table giv
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +36,6 @@ _IP = regex.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = regex.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = regex.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = regex.compile(r"\p{L}{3,}")
-REACH = 80
 
 
 def luhn(digits: str) -> bool:
@@ -79,68 +80,111 @@ def entity_of(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _digits(value)}"
 
 
-def surroundings(text: str, spans: list[tuple[str, int, int]], reach: int = REACH) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for the terms within `reach` characters of each entity, outside all spans."""
-    taken = sorted((a, b) for _, a, b in spans)
-    found = set()
-    for kind, start, end in spans:
-        entity = entity_of(kind, text[start:end])
-        for low, high in ((max(0, start - reach), start), (end, min(len(text), end + reach))):
-            for m in _TERM.finditer(text, low, high):
-                a, b = m.span()
-                whole = (a == 0 or not text[a - 1].isalpha()) and (b == len(text) or not text[b].isalpha())
-                if whole and not any(x < b and a < y for x, y in taken):
-                    found.add((entity, m[0].lower(), a, b))
-    return sorted(found)
+def outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) for the terms outside all spans, by start."""
+    taken, k = sorted((a, b) for _, a, b in spans), 0
+    reached = 0  # end of the spans that start before the term
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        while k < len(taken) and taken[k][0] < b:
+            reached = max(reached, taken[k][1])
+            k += 1
+        if reached <= a:
+            yield m[0].lower(), a, b
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-_CONTEXT = pa.struct([("entity", pa.string()), ("term", pa.string()), ("first", pa.int32()), ("last", pa.int32())])
+def _split(joined: str) -> list[tuple[str, int, int]]:
+    return [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in joined.split(",") if x)]
+
+
+_PLACE = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("action", pa.string())])
 
 
 def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, digests, joined, contexts = [[] for _ in KINDS], [], [], []
+        counts, digests, joined, entities, held = [[] for _ in KINDS], [], [], [], []
         for text in batch.column("text").to_pylist():
             spans = base_spans(text or "")
             for kind, col in zip(KINDS, counts):
                 col.append(sum(k == kind for k, _, _ in spans))
             joined.append(_joined(spans))
             digests.append(hashlib.sha256(joined[-1].encode()).hexdigest())
-            contexts.append([{"entity": e, "term": t, "first": a, "last": b} for e, t, a, b in surroundings(text, spans)] if spans else [])
-        arrays = [batch.column("doc_id"), batch.column("text_key"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(joined, pa.string()), pa.array(contexts, pa.list_(_CONTEXT))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base_sha256", "base_spans", "contexts"])
+            entities.append(sorted({entity_of(k, text[a:b]) for k, a, b in spans}))
+            held.append(text if spans else None)
+        arrays = [batch.column("doc_id"), batch.column("text_key"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(joined, pa.string()), pa.array(entities, pa.list_(pa.string())), pa.array(held, pa.string())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base_sha256", "base_spans", "entities", "held"])
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """(term, df_t): documents by term, in parts of about `most` terms."""
+    counts: Counter[str] = Counter()
+
+    def part() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "df_t"])
+        counts.clear()
+        return out
+
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            counts.update({t.lower() for t in set(_TERM.findall(text or ""))})
+            if len(counts) >= most:
+                yield part()
+    yield part()
+
+
+def _terms_of_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_key, term): the different terms outside the spans of each row that holds an entity, text by text."""
+    for batch in batches:
+        for key, text, joined in zip(*(batch.column(c).to_pylist() for c in ("text_key", "held", "base_spans"))):
+            terms = sorted({t for t, _, _ in outside(text, _split(joined))})
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(terms), pa.int64()), pa.array(terms, pa.string())], names=["text_key", "term"])
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every place of the told terms."""
+    for batch in batches:
+        places = []
+        for text, joined, told in zip(*(batch.column(c).to_pylist() for c in ("held", "base_spans", "told"))):
+            actions = {t["term"]: t["action"] for t in told or ()}
+            places.append([{"first": a, "last": b, "action": actions[t]} for t, a, b in outside(text, _split(joined)) if t in actions] if actions else [])
+        kept = batch.select(["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base_sha256", "base_spans"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(places, pa.list_(_PLACE))], names=[*kept.schema.names, "terms"])
 
 
 def find_personal_data(docs: DataFrame, support: int = 3, generalise: float = 0.85, remove: float = 0.95) -> DataFrame:
     """One row per row of docs (doc_id, text): counts and digest of the base spans, base_spans, terms (disclosing terms as
     array<struct<first, last, action>>) and spans (base, then term spans)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
-    schema = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base_spans string, contexts array<struct<entity:string,term:string,first:int,last:int>>"
-    found = stored(docs.mapInArrow(_detect, schema), "personal")
-    near = found.select("doc_id", "text_key", F.explode("contexts").alias("c")).select("doc_id", "text_key", "c.*")
-    seen = near.groupBy("entity", "term", "doc_id", "text_key").agg(F.lit(1).alias("one"))
-    texts = seen.groupBy("entity", "term", "text_key").agg(F.count("*").alias("docs"))
-    pairs = stored(texts.groupBy("entity", "term").agg(F.sum("docs").alias("c"), F.count("*").alias("texts")), "pairs")
-    entities = near.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
-    terms = stored(pairs.select("term").distinct(), "terms")
-    in_docs = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{3,}"), F.lit(0)))).alias("term"))
-    few = small_side(terms)
-    # few terms: keep only them before counting; many: count all words first, then join
-    counted = in_docs.join(few, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t")) if few is not terms else in_docs.groupBy("term").agg(F.count("*").alias("df_t")).join(terms, "term", "left_semi")
+    base = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base_spans string"
+    found = stored(docs.mapInArrow(_detect, f"{base}, entities array<string>, held string"), "personal")
+    held = found.filter("held is not null")
     n = F.lit(float(found.select("text_key").distinct().count()))
-    told = pairs.join(entities, "entity").join(counted, "term")
+    copies = held.groupBy("text_key").agg(F.count("*").alias("docs"))
+    named = held.select("text_key", F.explode("entities").alias("entity")).distinct()
+    sizes = named.join(copies, "text_key").groupBy("entity").agg(F.count("*").alias("df_e"), F.sum("docs").alias("docs_e"))
+    limit = F.pow(n, F.lit(1 - generalise)) * F.pow("df_e", F.lit(generalise)) + F.col("docs_e")
+    sizes = stored(sizes.withColumn("limit", limit), "entities")
+    named = stored(named.join(small_side(sizes), "entity").join(copies, "text_key").select("text_key", "entity", "df_e", "limit", "docs"), "named")
+    counted = stored(docs.select("text").mapInArrow(_count_terms, "term string, df_t long").groupBy("term").agg(F.sum("df_t").alias("df_t")), "counted")
+    most = sizes.agg(F.max("limit")).first()[0] or 0.0
+    # at most a thousand times the terms of a document are commoner than this; without them no term is a hot key
+    common = counted.filter(F.col("df_t") > F.greatest(F.lit(most), n / 1000)).select("term")
+    has = held.select("text_key", "held", "base_spans").mapInArrow(_terms_of_held, "text_key long, term string")
+    has = has.join(F.broadcast(common), "term", "left_anti").join(small_side(stored(counted.filter(F.col("df_t") <= most), "rare")), "term").distinct()
+    pairs = stored(has.join(named, "text_key").filter(F.col("df_t") <= F.col("limit")), "pairs")
+    sums = pairs.groupBy("entity", "term").agg(F.sum("docs").alias("c"), F.count("*").alias("texts"), F.first("df_e").alias("df_e"), F.first("df_t").alias("df_t"))
     df_t = F.col("df_t") - F.col("c") + F.greatest("texts", F.lit(support))
-    told = told.withColumn("share", F.log2(n * F.col("texts") / (F.col("df_e") * df_t)) / F.greatest(F.log2(n / F.col("df_e")), F.lit(1e-9)))
+    told = sums.withColumn("share", F.log2(n * F.col("texts") / (F.col("df_e") * df_t)) / F.greatest(F.log2(n / F.col("df_e")), F.lit(1e-9)))
     told = stored(told.filter(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")), "disclosing")
-    hits = near.join(told, ["entity", "term"]).groupBy("doc_id", "text_key", "first", "last").agg(F.max("action").alias("action"))
-    hits = hits.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("first", "last", "action"))).alias("terms"))
-    out = found.join(hits, found["doc_id"].eqNullSafe(hits["_id"]) & (found["text_key"] == hits["_key"]), "left")
+    hits = pairs.select("entity", "term", "text_key").join(told, ["entity", "term"]).groupBy("text_key", "term").agg(F.max("action").alias("action"))
+    hits = hits.groupBy(F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("term", "action")).alias("told"))
+    placed = held.drop("entities").join(hits, held["text_key"] == hits["_key"], "left").drop("_key").mapInArrow(_place, f"{base}, terms array<struct<first:int,last:int,action:string>>")
     none = F.array().cast("array<struct<first:int,last:int,action:string>>")
-    out = out.withColumn("terms", F.coalesce("terms", none))
+    out = placed.unionByName(found.filter("held is null").drop("entities", "held").withColumn("terms", none))
     extra = F.transform("terms", lambda t: F.concat(F.lit("term:"), t["first"].cast("string"), F.lit(":"), t["last"].cast("string")))
     spans = F.array_join(F.concat(F.when(F.col("base_spans") != "", F.array("base_spans")).otherwise(F.array().cast("array<string>")), extra), ",")
     return out.select("doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base_sha256", "base_spans", "terms", spans.alias("spans"))

@@ -184,6 +184,18 @@ def test_entities_of_one_text_have_disclosing_terms(spark):
     assert queries.op4_personal_data(spark, "/root/testdata/sf0.1").filter("spans like '%term:%'").count() > 0
 
 
+def test_every_place_of_a_disclosing_term(spark):
+    far = " ".join(f"common{chr(97 + k % 20)}" for k in range(300))
+    docs = [(i, f"number {far} as in text {i}") for i in range(60)] + [(60 + i, f"Wiesengrund {far} is at w@y.org {far} {i} again WIESENGRUND") for i in range(4)]
+    docs += [(70, "Wiesengrund alone"), (71, None)]
+    frame = spark.createDataFrame([*docs, docs[61]], "doc_id long, text string")
+    found = find_personal_data(frame)
+    places = Counter((r.doc_id, dict(docs)[r.doc_id][t.first : t.last]) for r in found.collect() for t in r.terms)
+    assert places == {(60 + i, w): 1 + (i == 1) for i in range(4) for w in ("Wiesengrund", "again", "WIESENGRUND")}
+    clean = sanitised(frame, found).collect()
+    assert len(clean) == len(docs) + 1 and {r.doc_id for r in clean if "wiesengrund" in r.text.lower()} == {70}
+
+
 def test_viterbi_restores_disguised_words(spark):
     texts = list(texts_of(spark, MEDIUM).values())
     import pyarrow as pa
