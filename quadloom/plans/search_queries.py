@@ -176,6 +176,13 @@ def r5(t: Tables) -> DataFrame:
     return ordered.select("uid", "pref_label").limit(100)
 
 
+@query("r5_sort_all_records", "SELECT uid, p_name AS pref_label, row_number() OVER (ORDER BY p_size DESC, p_name, uid) AS rank FROM sorted", sorted=SORTED)
+def r5b(t: Tables) -> DataFrame:
+    """Every part with its place in the order; places are counted by sorted partition, not in one task."""
+    ordered = rank.sort_records(docs_of(t, "part"), [f"{ONTO}size desc", "pref_label asc"], fields_of(t, "part")).select("uid", "pref_label")
+    return t.spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), "uid string, pref_label string, rank long")
+
+
 @query("r6_page", "SELECT uid, p_size FROM sorted ORDER BY p_size DESC, p_name, uid LIMIT 20 OFFSET 30", sorted=SORTED)
 def r6(t: Tables) -> DataFrame:
     ordered = rank.page(rank.sort_records(docs_of(t, "part"), [f"{ONTO}size desc", "pref_label"], fields_of(t, "part")), 30, 20)

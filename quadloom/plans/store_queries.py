@@ -131,6 +131,13 @@ def v4b(t: Tables) -> DataFrame:
     return revisions.published_store(store, chosen(t))["quads"].filter(F.col("g") == f"{DS}user/").select("s", "p", "o").distinct()
 
 
+@query("v4_published_latest_store", f"SELECT DISTINCT record_uri AS s, q.p, q.o FROM revision_quads q JOIN revisions r USING (rev_uri) WHERE rev_uri IN (SELECT rev_uri FROM ({LATEST}))")
+def v4c(t: Tables) -> DataFrame:
+    """The latest revision of every record is published."""
+    store = store_of(t, "region")
+    return revisions.published_store(store, revisions.latest_revision(t.revisions).select("rev_uri"))["quads"].filter(F.col("g") == f"{DS}user/").select("s", "p", "o").distinct()
+
+
 @query("v5_set_lifecycle", f"SELECT status, count(*) AS n, 5 AS records FROM (SELECT CASE WHEN rev_uri IN ({CHOSEN}) THEN 'staging' ELSE status END AS status FROM revisions) GROUP BY status")
 def v5(t: Tables) -> DataFrame:
     store = store_of(t, "region")
@@ -151,6 +158,12 @@ def v7(t: Tables) -> DataFrame:
     return parts[0].union(parts[1])
 
 
+@query("v7_read_all_revisions", "SELECT record_uri AS s, p, o, 'record' AS mode FROM revision_quads JOIN revisions USING (rev_uri) UNION ALL SELECT rev_uri, p, o, 'revision' FROM revision_quads")
+def v7b(t: Tables) -> DataFrame:
+    parts = [revisions.read_revision(t.revision_quads, t.revisions, t.revisions.select("rev_uri"), m).select("s", "p", "o", F.lit(m).alias("mode")) for m in ("record", "revision")]
+    return parts[0].union(parts[1])
+
+
 PAIRS = "SELECT record_uri, rev_uri, lag(rev_uri) OVER (PARTITION BY record_uri ORDER BY rev_time, rev_uri) AS before FROM revisions"
 
 
