@@ -67,6 +67,23 @@ def s4(t: Tables) -> DataFrame:
     return records.select(F.col("id").cast("long").alias("id"), "attr", "pos", "value", "ref", F.col("meta")["near"].alias("near"))
 
 
+NAMED = "SELECT c_custkey * 2 AS id, c_name AS name, 'nation/' || c_nationkey AS ref FROM customer UNION ALL SELECT doc_id * 2 + 1, text, 'source/' || source FROM documents WHERE text <> '' AND source IS NOT NULL"
+
+
+@query("s4_read_all_record_json", "SELECT id, 'name' AS attr, 0 AS pos, md5(name) AS value, NULL AS ref, NULL AS near FROM named UNION ALL SELECT id, 'home', 0, NULL, '@' || ref, 'yes' FROM named UNION ALL SELECT id, 'tag', i, md5(ref || ' ' || i), NULL, NULL FROM named, range(3) r(i) UNION ALL SELECT id, 'type', 0, md5('Object'), NULL, NULL FROM named", named=NAMED)
+def s4b(t: Tables) -> DataFrame:
+    """Customers and documents in files of about 200 records, dealt by key."""
+    customers = t.raw("customer").selectExpr("CAST(c_custkey AS LONG) * 2 AS id", "c_name AS name", "'nation/' || CAST(c_nationkey AS STRING) AS ref")
+    named = customers.union(t.raw("documents").filter("text <> '' AND source IS NOT NULL").selectExpr("CAST(doc_id AS LONG) * 2 + 1", "text", "'source/' || source"))
+    tags = F.array(*[F.concat("ref", F.lit(f" {i}")) for i in range(3)])
+    record = F.struct(F.col("id").cast("string").alias("id"), "name", F.struct(F.concat(F.lit("@"), "ref").alias("ref"), F.lit("yes").alias("near")).alias("home"), tags.alias("tag"))
+    bucket = F.pmod(F.xxhash64("id"), F.lit(named.count() // 200 + 1))
+    files = named.groupBy(bucket.cast("string").alias("path")).agg(F.collect_list(record).alias("recordList"))
+    files = files.select("path", F.to_json(F.struct(F.struct(F.lit("all").alias("prefLabel")).alias("dataset"), "recordList")).alias("content"))
+    records, _, _ = readers.parse_record_json(files)
+    return records.select(F.col("id").cast("long").alias("id"), "attr", "pos", F.md5("value").alias("value"), "ref", F.col("meta")["near"].alias("near"))
+
+
 @query("s5_read_namespaces", f"SELECT DISTINCT 'p' || p_size AS prefix, '{DS}size/' || p_size || '#' AS uri FROM part WHERE p_size % 3 > 0")
 def s5(t: Tables) -> DataFrame:
     size = F.col("p_size").cast("string")
@@ -112,6 +129,22 @@ def k5(t: Tables) -> DataFrame:
     return writers.linked_json_lines(t.quads("nation"), linkage)
 
 
+HOLDERS = f"""SELECT g, s, max(o) FILTER (p = '{TYPE}') AS cls, max(o) FILTER (p = '{LABEL}') AS name, max(o) FILTER (p = '{ONTO}acctbal') AS bal, max(o) FILTER (p = '{ONTO}nation') AS nation FROM quads WHERE g IN ('{DS}supplier/', '{DS}customer/') GROUP BY g, s"""
+
+
+@query("k4_write_all_sectioned_csv", f"""SELECT s || ',@@onto:' || {LOCAL.format('cls')} || ',' || bal || ',@@' || nation || ',' || name AS value FROM holders
+UNION ALL SELECT '&&recordList' UNION ALL SELECT '&id,&type,&onto:acctbal,&onto:nation,&v:prefLabel'""", holders=HOLDERS)
+def k4b(t: Tables) -> DataFrame:
+    prefixes = t.spark.createDataFrame([("onto", ONTO), ("v", VOCAB)], "prefix string, uri string")
+    return writers.sectioned_csv_lines(t.quads("supplier", "customer"), prefixes)[0]
+
+
+@query("k5_write_all_linked_json", f"""SELECT '{{"id":"' || {LOCAL.format('s')} || '","acctbal":["' || bal || '"],"name":["' || name || '"],"nation":["@@' || nation || '"],"type":["' || CASE WHEN cls = '{ONTO}Supplier' THEN 'Vendor' ELSE {LOCAL.format('cls')} END || '"]}}' AS value FROM holders""", holders=HOLDERS)
+def k5b(t: Tables) -> DataFrame:
+    linkage = t.spark.createDataFrame([("attribute", "name", LABEL), ("type", "Vendor", f"{ONTO}Supplier")], "kind string, name string, map_to string")
+    return writers.linked_json_lines(t.quads("supplier", "customer"), linkage)
+
+
 @query("k6_write_triple_tsv", "SELECT replace(s, '/', '%2F') || '/' || replace(p, '/', '%2F') || '/' || replace(o, '/', '%2F') AS value FROM quads")
 def k6(t: Tables) -> DataFrame:
     return writers.triple_tsv_lines(t.quads(), "/")
@@ -341,6 +374,12 @@ def b14(t: Tables) -> DataFrame:
     return docs.select("uid", "dataset", "uri", "pref_label", F.get("types", F.lit(0)).alias("type"), F.concat_ws("|", "inferred_types").alias("inferred"))
 
 
+@query("b14_build_whole_index", f"""SELECT md5(g || s) AS uid, g AS dataset, s AS uri, coalesce(max(o) FILTER (p = '{LABEL}'), {LOCAL.format('s')}) AS pref_label, max(o) FILTER (p = '{TYPE}') AS type, (SELECT string_agg(inferred, '|' ORDER BY inferred) FROM ({INFERRED}) i WHERE i.uid = md5(g || s)) AS inferred FROM quads GROUP BY g, s""")
+def b14c(t: Tables) -> DataFrame:
+    docs, _ = index.build_index(t.quads(), t.statements, t.properties, class_closure(t.class_edges), SUPPORTED)
+    return docs.select("uid", "dataset", "uri", "pref_label", F.get("types", F.lit(0)).alias("type"), F.concat_ws("|", "inferred_types").alias("inferred"))
+
+
 @query("b14_build_index_fields", f"SELECT uid, attr, kind, md5(value) AS value FROM ({FIELDS}) WHERE kind <> 'x' UNION ALL SELECT md5(q.g || q.s), q.p, 'object', md5(coalesce(l.o, {LOCAL.format('q.o')})) FROM quads q LEFT JOIN (SELECT s, o FROM quads WHERE p = '{LABEL}') l ON l.s = q.o WHERE q.o_kind = 'uri' AND q.p <> '{TYPE}' UNION ALL SELECT md5(g || s), p || '&' || rei_p, 'reify', md5(rei_o) FROM statements")
 def b14b(t: Tables) -> DataFrame:
     _, fields = index.build_index(t.quads(), t.statements, t.properties, class_closure(t.class_edges), SUPPORTED)

@@ -252,6 +252,18 @@ def g2(t: Tables) -> DataFrame:
     return records.read_records_anywhere(twice, uris, twice.select("g").distinct()).select("g", "s", "p", "o")
 
 
+@query("g1_read_all_records", f"SELECT g, s, p, md5(o) AS o FROM (SELECT DISTINCT g, s, p, o, o_kind, o_type, o_lang FROM quads) UNION ALL SELECT DISTINCT g, s, '{PART_OF}', md5(g) FROM quads")
+def g1b(t: Tables) -> DataFrame:
+    return records.read_records(t.quads(), t.quads().select("s", "g").distinct()).select("g", "s", "p", F.md5("o").alias("o"))
+
+
+@query("g2_read_all_records_anywhere", "SELECT min(g) AS g, s, p, md5(o) AS o FROM quads GROUP BY s, p, o")
+def g2b(t: Tables) -> DataFrame:
+    quads = t.quads()
+    twice = quads.unionByName(quads.withColumn("g", F.lit(f"{DS}z/")))
+    return records.read_records_anywhere(twice, quads.select("s").distinct(), twice.select("g").distinct()).select("g", "s", "p", F.md5("o").alias("o"))
+
+
 @query("g3_keep_language", "SELECT s, p, md5(o) AS o FROM quads WHERE o_lang IS NULL OR o_lang = 'fr'")
 def g3(t: Tables) -> DataFrame:
     return records.keep_language(t.quads(), "fr").select("s", "p", F.md5("o").alias("o"))

@@ -32,6 +32,20 @@ def w1(t: Tables) -> DataFrame:
     return out.groupBy(F.when(F.col("g") == f"{DS}nation/", "kept").otherwise("added").alias("what")).agg(F.count("*").alias("n")).union(clash)
 
 
+HELD = ", ".join(f"'{DS}{name}/'" for name in ("nation", "supplier", "part", "orders"))
+
+
+@query("w1_create_all_records", f"SELECT 'kept' AS what, count(*) AS n FROM quads WHERE g IN ({HELD}) UNION ALL SELECT 'added', count(*) FROM quads WHERE g NOT IN ({HELD}) UNION ALL SELECT 'clash', count(DISTINCT s) FROM quads WHERE g IN ({HELD})")
+def w1b(t: Tables) -> DataFrame:
+    """Regions, customers and documents join a store of the other sources."""
+    names = ("nation", "supplier", "part", "orders")
+    store, none = store_of(t, *names), t.statements.limit(0)
+    out = writes.create_records(store, t.quads("region", "customer", "documents"), none)["quads"]
+    clash = writes.clashes(store, t.quads()).agg(F.lit("clash").alias("what"), F.count("*").alias("n"))
+    kept = F.col("g").isin(*(f"{DS}{name}/" for name in names))
+    return out.groupBy(F.when(kept, "kept").otherwise("added").alias("what")).agg(F.count("*").alias("n")).union(clash)
+
+
 @query("w2_update_records", f"SELECT s, p, o FROM quads WHERE g = '{DS}part/' AND CAST({LOCAL.format('s')} AS BIGINT) % 3 <> 0 UNION ALL SELECT s, p, o || '-new' FROM quads WHERE g = '{DS}part/' AND p = '{TYPE}' AND CAST({LOCAL.format('s')} AS BIGINT) % 3 = 0")
 def w2(t: Tables) -> DataFrame:
     return writes.update_records(t.quads("part"), incoming(t)).select("s", "p", "o")
