@@ -2,49 +2,55 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from quadloom.functions.uris import tokens
 from quadloom.operators.ontology import cut
 
-SUFFIXES = ("ational", "ization", "fulness", "ously", "ments", "ation", "ness", "ings", "ment", "ies", "ing", "ers", "ed", "es", "ly", "er", "s")
+#: The endings that stem() knows, longest first.
+ENDINGS = (
+    "ational", "ization", "fulness", "ously", "ments", "ation", "ness", "ings", "ment",
+    "ies", "ing", "ers", "ed", "es", "ly", "er", "s",
+)
+STEM = f"^(.{{3,}}?)(?:{'|'.join(ENDINGS)})$"
+#: Labels of at most so many bytes are sent to every executor; more are met by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
-@F.pandas_udf(StringType())
-def stem(words: pd.Series) -> pd.Series:
-    """Strips one known ending of a word that leaves at least three letters."""
-    return words.map(lambda w: next((w[: -len(x)] for x in SUFFIXES if w.endswith(x) and len(w) - len(x) >= 3), w))
-
-
-def stemmed(rows: DataFrame, column: str) -> DataFrame:
-    """rows with the words in the array column stemmed; each distinct word is stemmed once."""
-    words = rows.select(F.explode(column).alias("w")).distinct().withColumn("stem", stem("w"))
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id()) if "row" not in rows.columns else rows.withColumn("_row", F.col("row"))
-    out = keyed.select("_row", F.posexplode(column).alias("i", "w")).join(words, "w").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("i", "stem"))).alias("l"))
-    return keyed.drop(column).join(out.select("_row", F.transform("l", lambda x: x["stem"]).alias(column)), "_row").drop("_row")
+def stem(word: Column) -> Column:
+    """The word without its longest known ending, if at least three letters are left."""
+    return F.regexp_replace(word, STEM, "$1")
 
 
 def tag_concepts(documents: DataFrame, labels: DataFrame, stemming: bool = False, longest: int = 5) -> DataFrame:
     """(doc_id, concept, first, last): word spans [first, last) of documents (doc_id, text) that equal a label of labels
-    (concept, label) of 1 to `longest` words. Longer matches win, then earlier ones; a place is in one match at most.
+    (concept, label) of 1 to `longest` words. Longer matches win, then earlier ones; a place is in one match at most; of
+    concepts with equal labels the smallest is named.
 
-    n-grams are only built where a label's first word stands, so the blow-up is bounded by real candidates. Lengths are
-    taken from the longest down, each without the places that are covered already.
+    Each place of a text is one row of its next `longest` words, streamed against the first words of the labels and then
+    against the labels. Labels whose summed size is small are broadcast, so only hits are shuffled; more labels are joined by
+    shuffle, never by a broadcast of the texts. Lengths are then taken from the longest down, each without the places that
+    are covered already. A null text has no words; labels without words are ignored; rows that repeat an id are one document.
     """
-    texts = documents.select(F.col("doc_id").alias("row"), tokens(F.col("text")).alias("w"))
-    names = labels.select(F.monotonically_increasing_id().alias("row"), "concept", tokens(F.col("label")).alias("w")).filter(F.size("w").between(1, longest))
-    if stemming:
-        texts, names = stemmed(texts, "w"), stemmed(names, "w")
-    names = names.select("concept", F.get("w", F.lit(0)).alias("head"), F.size("w").alias("n"), F.array_join("w", " ").alias("gram")).distinct()
-    heads = names.select("head", "n").distinct()
-    places = texts.select("row", "w", F.posexplode("w").alias("first", "head")).join(heads, "head")
-    grams = places.filter(F.col("first") + F.col("n") <= F.size("w")).select("row", "first", "n", F.array_join(F.slice("w", F.col("first") + 1, F.col("n")), " ").alias("gram"))
-    hits = grams.join(names.select("concept", "gram"), "gram").groupBy(F.col("row").alias("doc_id"), "first", "n").agg(F.min("concept").alias("concept"))
-    hits, taken = cut(hits), None
-    for n in range(longest, 0, -1):
+
+    def read(text: str) -> Column:
+        found = tokens(F.col(text))
+        return F.transform(found, stem) if stemming else found
+
+    names = labels.select("concept", read("label").alias("w")).filter(F.size("w").between(1, longest))
+    names = names.groupBy(F.array_join("w", " ").alias("gram"), F.get("w", F.lit(0)).alias("head"), F.size("w").alias("n")).agg(F.min("concept").alias("concept"))
+    bytes_held = names.agg(F.sum(F.octet_length("gram") + F.octet_length("concept") + 50)).first()[0] or 0
+    kind = "broadcast" if bytes_held <= BROADCAST_BYTES else "merge"
+    heads = names.select("head", "n").distinct().hint(kind)
+    texts = documents.select("doc_id", read("text").alias("w"))
+    following = F.transform("w", lambda _, i: F.slice("w", i + 1, longest))
+    places = texts.select("doc_id", F.posexplode(following).alias("first", "next"))
+    grams = places.withColumn("head", F.get("next", F.lit(0))).join(heads, "head").filter(F.col("n") <= F.size("next"))
+    grams = grams.select("doc_id", "first", "n", F.array_join(F.slice("next", F.lit(1), F.col("n")), " ").alias("gram"))
+    hits, taken = cut(grams.join(names.select("concept", "gram").hint(kind), "gram").select("doc_id", "first", "n", "concept")), None
+    lengths = [r.n for r in names.select("n").distinct().collect()]  # `longest` rows at most
+    for n in sorted(lengths, reverse=True):
         mine = hits.filter(F.col("n") == n)
         span = F.explode(F.sequence("first", F.col("first") + n - 1)).alias("place")
         if taken is not None:
@@ -53,9 +59,9 @@ def tag_concepts(documents: DataFrame, labels: DataFrame, stemming: bool = False
             mine = mine.join(under, ["doc_id", "first"], "left_anti")
         chosen = mine.select("doc_id", "concept", "first", (F.col("first") + n).alias("last"))
         if n > 1:
-            chosen = _leftmost(chosen, n)
+            chosen = cut(_leftmost(chosen, n))  # read again by every shorter length
         taken = chosen if taken is None else taken.union(chosen)
-    return taken
+    return hits.select("doc_id", "concept", "first", F.col("n").alias("last")) if taken is None else taken
 
 
 def _leftmost(spans: DataFrame, n: int) -> DataFrame:

@@ -370,16 +370,31 @@ def q4(t: Tables) -> DataFrame:
     return patterns.check_graph_access(graphs, t.access, t.memberships, f"{DS}customer/7")
 
 
-CONCEPTS = [("the", "the"), ("of", "of"), ("of the", "of the"), ("trash", "trash"), ("und der", "und der"), ("une", "Une"), ("clown", "clown"), ("apache", "Apache License")]
+CONCEPTS = [
+    ("the", "the"), ("of", "of"), ("of the", "of the"), ("trash", "trash"), ("und der", "und der"), ("une", "Une"),
+    ("clown", "clown"), ("apache", "Apache License"),
+]
 TAGS = ", ".join(f"('{c}', '{label.lower()}', {len(label.split())})" for c, label in CONCEPTS)
 WORD = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+STEMMED = [("clown", "clowns"), ("insult", "idiots"), ("waste", "trashed")]
 
 
-@query("t1_tag_concepts", f"SELECT doc_id, concept, i - 1 AS \"first\", i - 1 + n AS \"last\" FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {WORD} AS w FROM documents)) JOIN (VALUES {TAGS}) l(concept, label, n) ON array_to_string(w[i:i + n - 1], ' ') = label WHERE NOT (label IN ('of', 'the') AND (label = 'of' AND w[i + 1] = 'the' AND i < len(w) OR label = 'the' AND i > 1 AND w[greatest(i - 1, 1)] = 'of'))")
+@query("t1_tag_concepts", f"""
+SELECT doc_id, concept, i - 1 AS "first", i - 1 + n AS "last"
+FROM (
+  SELECT doc_id, unnest(w) AS word, unnest([''] || w) AS before, unnest(w[2:]) AS after, unnest(range(1, len(w) + 1)) AS i
+  FROM (SELECT doc_id, {WORD} AS w FROM documents)
+)
+JOIN (VALUES {TAGS}) l(concept, label, n) ON label = CASE n WHEN 1 THEN word ELSE word || ' ' || after END
+WHERE NOT (label = 'of' AND coalesce(after, '') = 'the') AND NOT (label = 'the' AND before = 'of')""")
 def t1(t: Tables) -> DataFrame:
     return tagging.tag_concepts(t.raw("documents"), t.spark.createDataFrame(CONCEPTS, "concept string, label string"))
 
 
-@query("t1_tag_concepts_stemmed")
+@query("t1_tag_concepts_stemmed", f"""
+SELECT doc_id, concept, i - 1 AS "first", i AS "last"
+FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {WORD} AS w FROM documents))
+JOIN (VALUES ('clown', 'clown'), ('insult', 'idiot'), ('waste', 'trash')) l(concept, label)
+  ON regexp_replace(word, '{tagging.STEM}', '\\1') = label""")
 def t1b(t: Tables) -> DataFrame:
-    return tagging.tag_concepts(t.raw("documents"), t.spark.createDataFrame([("clown", "clowns"), ("insult", "idiots"), ("waste", "trashed")], "concept string, label string"), stemming=True)
+    return tagging.tag_concepts(t.raw("documents"), t.spark.createDataFrame(STEMMED, "concept string, label string"), stemming=True)
