@@ -7,7 +7,7 @@ the tiles, so reordered passages count as much as straight ones.
 
 The benchmark is a stated query set held against all documents: it is taken in blocks of at most about `block_bytes`, each
 broadcast to one pass over the documents, so nothing is shuffled but the hits and no side has to fit at once. A block is
-sized from a sum over the table before anything is collected.
+sized from a sum over the table before anything is collected; with several blocks, one is alive at a time.
 
 Null or wordless texts and items match nothing; items shorter than `min_tile` words cannot be told from chance and match
 nothing; rows are judged one by one, so repeated rows repeat their hits; null ids are kept as null; ties between tiles go
@@ -16,7 +16,6 @@ to the earlier place in the item, then in the document. Empty tables give no row
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,102 +23,126 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.hashing import WordHashes, prefix_sums, window_hashes
+from quadloom.llm.hashing import prefix_sums, window_hashes, word_hashes
 from quadloom.llm.shared import small_side, stored
 
 _ALNUM = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
 
-def plain_words(text: str | None) -> list[bytes]:
-    return text.lower().encode().translate(_ALNUM).split() if text else []
-
-
-def tiles(hits: list[tuple[int, int]], min_tile: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling from seed hits (place in item, place in document) of min_tile words: (item, document, length)."""
-    runs: list[list[int]] = []
-    for d, i, j in sorted((j - i, i, j) for i, j in hits):
-        if runs and runs[-1][3] == d and runs[-1][0] + runs[-1][2] - min_tile + 1 == i:
-            runs[-1][2] += 1
-        else:
-            runs.append([i, j, min_tile, d])
-    heap = [(-n, i, j) for i, j, n, _ in runs]
-    heapq.heapify(heap)
-    item_marked, doc_marked, out = set(), set(), []
-    while heap:
-        n, i, j = heapq.heappop(heap)
-        free, pieces = None, []
-        for k in range(-n + 1):
-            open_ = k < -n and (i + k) not in item_marked and (j + k) not in doc_marked
-            if open_ and free is None:
-                free = k
-            elif not open_ and free is not None:
-                pieces.append((free, k - free))
-                free = None
-        if pieces == [(0, -n)]:
-            out.append((i, j, -n))
-            item_marked.update(range(i, i - n))
-            doc_marked.update(range(j, j - n))
-        else:
-            for at, length in pieces:
-                if length >= min_tile:
-                    heapq.heappush(heap, (-length, i + at, j + at))
+def plain_words(text: str | None) -> np.ndarray:
+    """Hashes of the runs of letters and digits of the lower-cased text, in order."""
+    return word_hashes(np.frombuffer(text.lower().encode().translate(_ALNUM), np.uint8)) if text else np.zeros(0, np.uint64)
+
+
+class Side:
+    """One of two texts that are tiled: its windows of any length that hold no marked word."""
+
+    def __init__(self, words: np.ndarray):
+        self.sums, self.marks = prefix_sums(words), np.zeros(len(words) + 1, np.int64)
+
+    def free(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, places) of the free windows of `length` words, by place."""
+        places = np.flatnonzero(self.marks[length:] == self.marks[: len(self.marks) - length])
+        return window_hashes(self.sums, length)[places], places
+
+    def mark(self, first: int, length: int) -> None:
+        self.marks[first + 1 : first + length + 1] += np.arange(1, length + 1)
+        self.marks[first + length + 1 :] += length
+
+
+def tiles(item: np.ndarray, doc: np.ndarray, min_tile: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling of two texts given as word hashes: (place in item, place in document, length), longest tile first, ties
+    by place in the item, then in the document. The longest free match is found by bisecting the length of the windows that
+    both sides hold, so repeated words cost no list of all their pairs."""
+    a, b, out = Side(item), Side(doc), []
+    longest = min(len(item), len(doc))
+    while longest >= min_tile:
+        low, high = min_tile - 1, longest
+        while low < high:
+            length = (low + high + 1) // 2
+            if np.isin(a.free(length)[0], b.free(length)[0]).any():
+                low = length
+            else:
+                high = length - 1
+        if low < min_tile:
+            break
+        mine, places = a.free(low)
+        theirs, others = b.free(low)
+        shared = np.isin(mine, theirs)
+        order = np.argsort(theirs, kind="stable")
+        theirs, others, reached, done = theirs[order], others[order], 0, {}
+        for gram, i in zip(mine[shared].tolist(), places[shared].tolist()):
+            if i < reached:
+                continue
+            at = done.get(gram)
+            if at is None:
+                at = done[gram] = int(np.searchsorted(theirs, np.uint64(gram)))
+            while at < len(theirs) and int(theirs[at]) == gram:
+                j = int(others[at])
+                at += 1
+                if b.marks[j + low] == b.marks[j]:
+                    out.append((i, j, low))
+                    a.mark(i, low)
+                    b.mark(j, low)
+                    reached = i + low
+                    break
+            done[gram] = at
+        longest = low - 1
     return out
 
 
 class Seeds:
-    """Seed index of a block of benchmark items: sorted hashes and, for each, its (item, place) pairs."""
+    """Seed index of a block of benchmark items: sorted hashes and, for each, its (item, place)."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], min_tile: int):
-        hashes, found, owner, place = WordHashes(), [], [], []
-        self.min_tile, self.ids, self.sizes = min_tile, [i for i, _ in items], []
-        for k, (_, text) in enumerate(items):
-            words = plain_words(text)
-            grams = window_hashes(prefix_sums(hashes.of(words)), min_tile)
-            self.sizes.append(len(words))
-            found.append(grams)
-            owner.append(np.full(len(grams), k))
-            place.append(np.arange(len(grams)))
-        grams = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        self.min_tile, self.ids, self.words = min_tile, [i for i, _ in items], [plain_words(text) for _, text in items]
+        found = [window_hashes(prefix_sums(w), min_tile) for w in self.words]
+        grams = np.concatenate([*found, np.zeros(0, np.uint64)])
         order = np.argsort(grams, kind="stable")
-        self.grams, self.owner, self.place = grams[order], np.concatenate(owner)[order] if found else order, np.concatenate(place)[order] if found else order
-
-    def matches(self, grams: np.ndarray, min_coverage: float) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
-        """Items (by number) whose coverage by tiles of the document reaches min_coverage."""
+        sizes = [len(f) for f in found]
+        self.grams = grams[order]
+        self.owner = np.repeat(np.arange(len(found)), sizes)[order]
+        self.place = np.concatenate([*map(np.arange, sizes), np.zeros(0, np.int64)])[order]
+
+    def matches(self, doc: np.ndarray, min_coverage: float) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+        """Items (by number) whose coverage by tiles of the document reaches min_coverage. Every seed of an item counts once,
+        however often the document holds it; only items with enough words under seeds are tiled."""
+        grams = np.unique(window_hashes(prefix_sums(doc), self.min_tile))
         if not len(self.grams) or not len(grams):
             return
         low, high = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
-        at = np.flatnonzero(high > low)
-        if not len(at):
+        counts = high - low
+        if not counts.any():
             return
-        counts = high[at] - low[at]
-        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        index = np.repeat(low[at], counts) + within
-        owner, item_place, doc_place = self.owner[index], self.place[index], np.repeat(at, counts)
-        for k in np.unique(owner):
-            mine = owner == k
-            reach = np.zeros(self.sizes[k] + 1, bool)
+        index = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        owner, place = self.owner[index], self.place[index]
+        order = np.argsort(owner, kind="stable")
+        owner, place = owner[order], place[order]
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        for k, places in zip(owner[first].tolist(), np.split(place, first[1:])):
+            size = len(self.words[k])
+            reach = np.zeros(size + 1, bool)
             for step in range(self.min_tile):
-                reach[item_place[mine] + step] = True
-            if reach.sum() < min_coverage * self.sizes[k]:
+                reach[places + step] = True
+            if reach.sum() < min_coverage * size:
                 continue
-            laid = tiles(list(zip(item_place[mine].tolist(), doc_place[mine].tolist())), self.min_tile)
-            if sum(n for _, _, n in laid) >= min_coverage * self.sizes[k]:
-                yield int(k), laid
+            laid = tiles(self.words[k], doc, self.min_tile)
+            if sum(n for _, _, n in laid) >= min_coverage * size:
+                yield k, laid
 
 
 def _search(block, min_coverage: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, min_tile = block.value
-        seeds, hashes = Seeds(items, min_tile), WordHashes()
+        seeds = Seeds(items, min_tile)
         tile = pa.struct([("item_first", pa.int32()), ("doc_first", pa.int32()), ("length", pa.int32())])
         schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int32()), ("matched_words", pa.int32()), ("tiles", pa.list_(tile))])
         for batch in batches:
             rows = []
             for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text"))):
-                grams = window_hashes(prefix_sums(hashes.of(plain_words(text))), min_tile)
-                for k, laid in seeds.matches(grams, min_coverage):
+                for k, laid in seeds.matches(plain_words(text), min_coverage):
                     spans = [{"item_first": i, "doc_first": j, "length": n} for i, j, n in sorted(laid)]
-                    rows.append({"doc_id": doc, "text_key": key, "item_id": seeds.ids[k], "item_words": seeds.sizes[k], "matched_words": sum(n for _, _, n in laid), "tiles": spans})
+                    rows.append({"doc_id": doc, "text_key": key, "item_id": seeds.ids[k], "item_words": len(seeds.words[k]), "matched_words": sum(n for _, _, n in laid), "tiles": spans})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return search
@@ -138,6 +161,9 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5,
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect() if size else []
         block = spark.sparkContext.broadcast(([(r.item_id, r.text) for r in rows], min_tile))
         found = docs.mapInArrow(_search(block, min_coverage), "doc_id long, text_key long, item_id long, item_words int, matched_words int, tiles array<struct<item_first:int,doc_first:int,length:int>>")
+        if n > 1:  # one block at a time: its hits are written and the block is given up before the next is read
+            found = stored(found, "hits")
+            block.destroy()
         out = found if out is None else out.union(found)
     return out
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder named in spark.checkpoint.dir. Only a local master may go without: it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quadloom-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -35,6 +37,21 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """A stored table of narrow rows gets a broadcast hint if it was counted at max_rows at most; else Spark chooses."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small_side(df: DataFrame, max_rows: int = 500_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """A stored table gets a broadcast hint if it was measured at max_rows and about max_bytes (as text) at most; else Spark
+    chooses. Measuring stops at max_rows."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    rows, held = df.limit(max_rows + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if rows <= max_rows and (held or 0) <= max_bytes else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that df does not have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

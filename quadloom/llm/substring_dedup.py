@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.hashing import WordHashes, prefix_sums, signed, span_hashes, window_hashes
+from quadloom.llm.hashing import hashed_rows, prefix_sums, signed, span_hashes, window_hashes
 from quadloom.llm.shared import forget, stored
 
 BLOCKS = "doc_id long, text_key long, seed long, block long, first int, windows int"
@@ -40,16 +40,14 @@ def _blocks(window: int, seed: int):
     span = window - seed + 1
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             cols: list[list[np.ndarray]] = [[] for _ in range(6)]
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
             rows: list[int] = []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                words = words_of(text)
+            for k, words in enumerate(hashed_rows(batch.column("text"))):
                 if len(words) < window:
                     continue
-                sums = prefix_sums(hashes.of(words))
+                sums = prefix_sums(words)
                 seeds = window_hashes(sums, seed)
                 at = np.lib.stride_tricks.sliding_window_view(seeds, span).argmin(axis=1)
                 at += np.arange(len(at))
@@ -69,16 +67,14 @@ def _blocks(window: int, seed: int):
 
 def _boundary_windows(window: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, other = WordHashes(), WordHashes(seed=1)
         for batch in batches:
             ids, keys, rows = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), []
             at, left, right = [], [], []
-            for k, (text, blocks) in enumerate(zip(batch.column("text").to_pylist(), batch.column("factors").to_pylist())):
-                words = words_of(text)
+            both = zip(*(hashed_rows(batch.column("text"), family=k) for k in (0, 1)), batch.column("factors").to_pylist())
+            for k, (words, others, blocks) in enumerate(both):
                 starts = np.concatenate([np.arange(b["first"], b["first"] + b["windows"]) for b in blocks if b["differs"]])
-                for table, out in ((hashes, left), (other, right)):
-                    sums = prefix_sums(table.of(words))
-                    out.append(signed(span_hashes(sums, starts, starts + window)))
+                for hashes, out in ((words, left), (others, right)):
+                    out.append(signed(span_hashes(prefix_sums(hashes), starts, starts + window)))
                 at.append(starts.astype(np.int32))
                 rows += [k] * len(starts)
             if rows:
@@ -139,10 +135,11 @@ def remove_repeated_spans(docs: DataFrame, window: int = 35, seed: int = 11, wit
     differing = factors.filter(F.exists("factors", lambda x: x["differs"]))
     open_docs = docs.join(differing, on_row(docs, differing)).select(docs["doc_id"], docs["text_key"], "text", "factors")
     windows = stored(open_docs.mapInArrow(_boundary_windows(window), "doc_id long, text_key long, first int, left long, right long"), "windows")
-    again = windows.groupBy("left", "right").count().filter("count > 1").drop("count")
+    # written, so that the join reads plain shuffles of both sides and Spark can split a hot window
+    again = stored(windows.groupBy("left", "right").count().filter("count > 1").drop("count"), "repeated-windows")
     starts = windows.join(again, ["left", "right"]).groupBy("doc_id", "text_key").agg(F.collect_set("first").alias("starts"))
     found = factors.alias("f").join(starts.alias("s"), F.col("f.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("f.text_key") == F.col("s.text_key")), "left")
     found = stored(found.select("f.doc_id", "f.text_key", "factors", "starts"), "spans")
-    forget(factors, windows)
+    forget(factors, windows, again)
     parsed = docs.join(found, on_row(docs, found), "left").select(docs["doc_id"], "text", "factors", "starts")
     return parsed.mapInArrow(_cut(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,last:int>>, kept_text string")

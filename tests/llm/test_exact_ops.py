@@ -12,7 +12,7 @@ import pytest
 
 from quadloom.llm import queries
 from quadloom.llm.components import components
-from quadloom.llm.ngram_join import grow_tree, near_duplicate_classes, posted_count, traverse
+from quadloom.llm.ngram_join import grow_tree, near_duplicate_classes, posted_count, traverse, tree_links
 from quadloom.llm.sharding import assign_shards
 from quadloom.llm.substring_dedup import remove_repeated_spans
 from quadloom.llm.tokens import PrefixCounter, longest_prefix, prefix_token_counts
@@ -138,6 +138,35 @@ def test_tree_traversal_misses_no_pair():
     assert want <= found and len(found) < len(sets) * (len(sets) - 1) // 2
 
 
+def test_tree_links_join_what_is_linked():
+    rng = np.random.default_rng(9)
+    base = np.sort(rng.choice(1 << 40, 200, replace=False))
+    sets = {k: np.sort(np.concatenate((rng.choice(base, 185, replace=False), rng.choice(1 << 40, int(rng.integers(0, 25)))))) for k in range(1, 90)}
+    rows = [(k, k, s[: posted_count(len(s), 80)], s[posted_count(len(s), 80) :]) for k, s in sets.items()]
+    links = list(tree_links(rows, 80))
+    parent = {k: k for k in sets}
+
+    def root(parent, x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def linked(a, b):
+        same = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+        return 180 * same >= 80 * (len(sets[a]) + len(sets[b]))
+
+    want = dict(parent)
+    for a in sets:
+        for b in sets:
+            if a < b and linked(a, b):
+                want[root(want, b)] = root(want, a)
+    for a, b in links:
+        assert linked(a, b)
+        parent[root(parent, b)] = root(parent, a)
+    groups = lambda p: {frozenset(k for k in sets if root(p, k) == r) for r in {root(p, k) for k in sets}}
+    assert groups(parent) == groups(want) and 1 <= len(links) < len(sets)
+
+
 def test_components_of_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -13,6 +13,7 @@ import pytest
 from quadloom.llm import queries
 from quadloom.llm.chat import format_chats, loss_text
 from quadloom.llm.decontaminate import contaminated_pairs, drop_contaminated, plain_words, tiles
+from quadloom.llm.hashing import hashed_rows
 from quadloom.llm.mixing import mix_sources
 from quadloom.llm.pii import base_spans, find_personal_data, sanitised
 from quadloom.llm.quality import js_distance, judge_quality
@@ -53,31 +54,79 @@ def brute_tiles(item, doc, least):
         used_d.update(range(j, j + n))
 
 
+def coded(words):
+    return np.array([hash(w) % (1 << 64) for w in words], np.uint64)
+
+
 def test_tiles_equal_brute_force():
     rng = np.random.default_rng(1)
-    for _ in range(150):
-        item, doc = rng.choice(list("abc"), 14).tolist(), rng.choice(list("abc"), 25).tolist()
-        hits = [(i, j) for i in range(12) for j in range(23) if item[i : i + 3] == doc[j : j + 3]]
-        assert sorted(tiles(hits, 3)) == brute_tiles(item, doc, 3)
+    for k in range(150):
+        item, doc = rng.choice(list("abc")[: 2 + k % 2], 14).tolist(), rng.choice(list("abc"), 25).tolist()
+        assert sorted(tiles(coded(item), coded(doc), 3)) == brute_tiles(item, doc, 3)
+
+
+def test_tiles_of_one_repeated_word_stay_small():
+    assert tiles(coded(["x"] * 500), coded(["x"] * 20_000), 5) == [(0, 0, 500)]
+
+
+def brute_words(text):
+    return re.findall("[0-9A-Za-z\u0080-\U0010ffff]+", (text or "").lower())
+
+
+def brute_leaks(texts, items):
+    """{(doc, item): words under tiles} where tiles cover half of the item; pairs with too few words in common are skipped."""
+    out = {}
+    for doc, text in texts.items():
+        words = brute_words(text)
+        held = Counter(words)
+        for item, w in items.items():
+            if 2 * (held & Counter(w)).total() >= len(w) >= 5:
+                places = defaultdict(list)
+                for j, x in enumerate(words):
+                    places[x].append(j)
+                if (n := sum(x for _, _, x in greedy(w, words, places, 5))) * 2 >= len(w):
+                    out[doc, item] = n
+    return out
+
+
+def greedy(item, doc, places, least):
+    """brute_tiles that only tries document places of the item's word."""
+    used_i, used_d, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i, x in enumerate(item):
+            for j in places.get(x, ()):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and i + n not in used_i and j + n not in used_d:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        if best[0] < least:
+            return out
+        n, i, j = best[0], -best[1], -best[2]
+        out.append((i, j, n))
+        used_i.update(range(i, i + n))
+        used_d.update(range(j, j + n))
 
 
 def test_decontamination_equals_brute_force_and_blocks_agree(spark):
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id, r.matched_words) for r in queries.op1_decontamination(spark, SMALL).collect()}
     assert got == {(r.doc_id, r.item_id, r.matched_words) for r in contaminated_pairs(docs, bench, block_bytes=2000).collect()}
-    items = {r.item_id: plain_words(r.text) for r in bench.collect()}
-    want = set()
-    for doc, text in texts_of(spark, SMALL).items():
-        words = plain_words(text)
-        places = defaultdict(list)
-        for j in range(len(words) - 4):
-            places[tuple(words[j : j + 5])].append(j)
-        for item, w in items.items():
-            hits = [(i, j) for i in range(len(w) - 4) for j in places.get(tuple(w[i : i + 5]), ())]
-            n = sum(x for _, _, x in tiles(hits, 5))
-            if n >= 0.5 * len(w):
-                want.add((doc, item, n))
-    assert got == want and got
+    want = brute_leaks(texts_of(spark, SMALL), {r.item_id: brute_words(r.text) for r in bench.collect()})
+    assert got == {(*pair, n) for pair, n in want.items()} and got
+
+
+def test_word_hashes_follow_the_words():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    texts = [None, "", " ", "a", " a  b\t", "x" * 90 + " y", "\u00e9 \u00fc", *(" ".join(rng.choice(["aa", "bb", "c", "dd\n"], rng.integers(0, 40))) for _ in range(100))]
+    for piece in (7, 64, 1 << 18):
+        named, worded = {}, {}
+        for text, hashes in zip(texts, hashed_rows(pa.array(texts), piece=piece), strict=True):
+            for word, value in zip(WORDS.findall(text or ""), hashes.tolist(), strict=True):
+                assert named.setdefault(word, value) == value and worded.setdefault(value, word) == word
+    assert [len(h) for h in hashed_rows(pa.array(texts).slice(3, 4))] == [1, 2, 2, 2]
 
 
 def test_reordered_passage_and_odd_rows(spark):

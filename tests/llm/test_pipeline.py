@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
-from quadloom.llm.decontaminate import plain_words, tiles
 from quadloom.llm.quality import judge_quality
 
 from test_exact_ops import brute_join
+from test_judging_ops import brute_leaks, brute_words
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -27,16 +27,9 @@ def test_stages_and_run(spark):
     assert {r.doc_id for r in frames[0].collect()} == good and 0 < len(good) < len(rows)
     alone = {d for d, _, c in brute_join([(d, t) for d, t in rows.items() if d in good]) if d == c}
     assert {r.doc_id for r in frames[1].collect()} == alone and len(alone) < len(good)
-    items = [plain_words(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
-
-    def leaks(text):
-        w = plain_words(text)
-        grams = {}
-        for j in range(len(w) - 4):
-            grams.setdefault(tuple(w[j : j + 5]), []).append(j)
-        return any(sum(n for _, _, n in tiles([(i, j) for i in range(len(x) - 4) for j in grams.get(tuple(x[i : i + 5]), ())], 5)) >= 0.5 * len(x) for x in items)
-
-    clean = {d for d in alone if not leaks(rows[d])}
+    items = {r.item_id: brute_words(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    leaks = {d for d, _ in brute_leaks({d: rows[d] for d in alone}, items)}
+    clean = {d for d in alone if d not in leaks}
     assert {r.doc_id for r in frames[2].collect()} == clean and len(clean) < len(alone)
     copies = Counter(r.doc_id for r in frames[3].collect())
     assert set(copies) == clean and set(copies.values()) <= {1, 2}
