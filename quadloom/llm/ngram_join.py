@@ -4,16 +4,17 @@
 2. Two sets over the threshold share one of their first `n - ceil(t * n) + 1` shingles in any one global order, so only these
    are posted. The order takes commoner shingles later: those that repeat within a stretch of some thousand texts are
    counted, over all texts, and the COMMON commonest are known to every task. A poor order costs time, never a link.
-3. Shingles posted by two classes or more are *lists*. Each class goes once, with its set, to the longest of its lists (in
-   later rounds, to one of its open lists by a hash, so sets that share much meet again elsewhere). There the classes become a signature tree: nodes hold the OR of their members' bitmaps (of all and of the posted shingles), the
-   range of set sizes, and the component if all members share one. A dual traversal from the root against itself, closest
-   nodes first, drops node pairs whose sizes or largest possible overlap rule a link out, or that are joined already; the
-   sets that are left are compared at once, so a group of near copies costs about as many links as members, not as pairs.
-   Lists over GROUP shingles are split by a hash of class and round, so the next round mixes what was apart.
-4. After ROUNDS of this, lists whose members are in several components still hold pairs that were not compared. Their members
-   meet again, bitmaps only, one tree a chunk: the list's largest component against the rest, and the rest against itself, so a
-   large component is never paired with itself. Surviving pairs that share too few posted shingles over all lists to reach
-   the threshold go, and what is left is compared exactly.
+3. Shingles posted by two classes or more are *lists*. Each class goes, with its set, to two of its lists: the longest, and
+   one chosen by a hash, so what misses at one place can meet at the other. There the classes become a signature tree: nodes
+   hold the OR of their members' bitmaps (of all and of the posted shingles), the range of set sizes, and the component if
+   all members are joined. A dual traversal from the root against itself, closest nodes first, drops node pairs whose sizes
+   or largest possible overlap rule a link out, or that are joined already; the sets that are left are compared at once, so a
+   group of near copies costs about as many comparisons as members, not as pairs. Lists over GROUP shingles are split by a
+   hash, another one for either place.
+4. Lists whose members are in several components still hold pairs that were not compared. Their members meet again, bitmaps
+   only, one tree a chunk: the list's largest component against the rest, and the rest against itself, so a large component is
+   never paired with itself. Surviving pairs that share too few posted shingles over all lists to reach the threshold go, and
+   what is left is compared exactly.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ from quadloom.llm.shared import forget, small_side, stored
 
 BITS, POSTED_BITS = 1024, 4096
 LEAF = 8
-ROUNDS = 2
 #: Shingles whose level is broadcast; shingles of a counted stretch; shingles of a tree's sets; bytes of a batch handed on.
 COMMON, STRETCH, GROUP, BATCH_BYTES = 1 << 20, 1 << 21, 1 << 21, 4 << 20
 SETS = "doc_id long, n int, class long, token long, seen long"
@@ -160,8 +160,8 @@ def _bitmaps(width: int, percent: int, common):
 
 
 def _group_sets(width: int, percent: int, common):
-    """Each class with its shingles, the posted ones apart, under the list and part that it goes to."""
-    names = ["token", "part", "class", "component", "posted", "others"]
+    """Each class with its shingles, the posted ones apart, under every list and part that it goes to."""
+    names = ["token", "part", "class", "posted", "others"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Order(common.value, percent)
@@ -169,16 +169,16 @@ def _group_sets(width: int, percent: int, common):
             rows, held = [[] for _ in names], 0
 
             def out() -> pa.RecordBatch:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names=names)
 
-            keys = zip(*(batch.column(c).to_pylist() for c in ("home", "part", "class", "component")))
-            for found, row in zip(shingle_sets(batch.column("text"), width), keys):
-                if len(found) and class_of(found) == row[2]:
+            for found, cls, homes in zip(shingle_sets(batch.column("text"), width), batch.column("class").to_pylist(), batch.column("homes").to_pylist()):
+                if len(found) and class_of(found) == cls:
                     mask = order.posted(found)
-                    for column, x in zip(rows, (*row, signed(found[mask]), signed(found[~mask]))):
-                        column.append(x)
-                    held += 8 * len(found)
+                    for home in homes:
+                        for column, x in zip(rows, (home["home"], home["part"], cls, signed(found[mask]), signed(found[~mask]))):
+                            column.append(x)
+                        held += 8 * len(found)
                     if held >= BATCH_BYTES:
                         yield out()
                         rows, held = [[] for _ in names], 0
@@ -234,9 +234,9 @@ def _compare(percent: int):
             column = batch.column("tokens")
             values, edges = column.values.to_numpy(), column.offsets.to_numpy()
             for row, (k, cls) in enumerate(zip(batch.column("key").to_pylist(), batch.column("class").to_pylist())):
-                tokens = values[edges[row] : edges[row + 1]]
+                tokens = np.sort(values[edges[row] : edges[row + 1]])  # sent in unsigned order
                 if k == cls:
-                    key, own = k, np.sort(tokens)
+                    key, own = k, tokens
                 elif k == key and over(common_count(tokens, own), len(own), len(tokens), percent):
                     u.append(k)
                     v.append(cls)
@@ -312,7 +312,11 @@ def traverse(a: Node, b: Node, percent: int, joined=lambda x, y: x.component is
 
 
 class Joined(dict):
-    """Components known so far: a forest over classes and components, and which nodes lie in one component."""
+    """Components known so far: a forest over classes, its roots the smallest, and which nodes lie in one component."""
+
+    def join(self, a: int, b: int) -> None:
+        low, high = sorted((self.root(a), self.root(b)))
+        self[high] = low
 
     def root(self, key: int) -> int:
         while (above := self.get(key, key)) != key:
@@ -332,23 +336,23 @@ class Joined(dict):
         return (one := self.of(a)) is not None and one == self.of(b)
 
 
-def tree_links(rows: list[tuple[int, int, np.ndarray, np.ndarray]], percent: int) -> Iterator[tuple[int, int]]:
-    """Links that join all rows (class, component, posted, others) that are linked within this group: at most one link fewer
-    than rows. The tree's leaves are ordered by the sets' least hashes, which puts near copies side by side."""
-    sets = {cls: np.sort(np.concatenate((posted, others))) for cls, _, posted, others in rows}
+def tree_links(rows: list[tuple[int, np.ndarray, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """(class, another class) for rows (class, posted, others): every class that is linked, over others if need be, with one
+    of its component. The tree's leaves are ordered by the sets' least hashes, which puts near copies side by side."""
+    sets = {cls: np.sort(np.concatenate((posted, others))) for cls, posted, others in rows}
     if len(sets) < 2:
-        return
+        return []
     loaded = {}
-    for cls, component, posted, _ in rows:
+    for cls, posted, _ in rows:
         whole = sets[cls]
         bits, marks = _bitmap(whole.view(np.uint64), BITS), _bitmap(posted.view(np.uint64), POSTED_BITS)
-        loaded[cls] = (cls, len(whole), component, int.from_bytes(bits), int.from_bytes(marks))
+        loaded[cls] = (cls, len(whole), cls, int.from_bytes(bits), int.from_bytes(marks))
     root = grow_tree(list(loaded.values()), percent, lambda r: (*sets[r[0]][:2].tolist(), r[0]))
     known = Joined()
     for x, y in traverse(root, root, percent, known.same):
         if over(common_count(sets[x[0]], sets[y[0]]), x[1], y[1], percent):
-            known[known.root(x[2])] = known.root(y[2])
-            yield x[0], y[0]
+            known.join(x[0], y[0])
+    return [(cls, top) for cls in sets if (top := known.root(cls)) != cls]
 
 
 def _tree_links(percent: int):
@@ -364,11 +368,11 @@ def _tree_links(percent: int):
 
         for batch in batches:
             lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("posted"), batch.column("others"))]
-            for k, (token, part, cls, component) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("token", "part", "class", "component")))):
+            for k, (token, part, cls) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("token", "part", "class")))):
                 if key != (token, part):
                     found += tree_links(rows, percent)
                     key, rows = (token, part), []
-                rows.append((cls, component, *(values[edges[k] : edges[k + 1]].copy() for values, edges in lists)))
+                rows.append((cls, *(values[edges[k] : edges[k + 1]].copy() for values, edges in lists)))
             yield out()
         found += tree_links(rows, percent)
         yield out()
@@ -448,36 +452,28 @@ def _common(read: DataFrame):
         if held + r.n > COMMON:
             break
         least, held = r.level, held + r.n
-    kept = counts.filter(F.col("level") >= least).toPandas()
+    kept = counts.filter(F.col("level") >= least).toArrow()
     forget(counts)
-    tokens, levels = kept["token"].to_numpy(np.int64).view(np.uint64), kept["level"].to_numpy(np.uint8)
+    tokens, levels = kept["token"].to_numpy().astype(np.int64).view(np.uint64), kept["level"].to_numpy().astype(np.uint8)
     order = np.argsort(tokens)
     return spark.sparkContext.broadcast((tokens[order].tobytes(), levels[order].tobytes()))
 
 
-def _named(members: DataFrame, joined: DataFrame | None) -> DataFrame:
-    """members with the component that each class has so far, and only those of lists that hold several components."""
-    if joined is None:
-        return members.withColumn("component", F.col("class"))
-    known = members.join(joined, members["class"] == joined["node"], "left").select(*members.columns, F.coalesce("component", "class").alias("component"))
-    open_lists = known.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("token")
-    return known.join(open_lists, "token")
-
-
-def _round(members: DataFrame, number: int, docs: DataFrame, classes: DataFrame, width: int, percent: int, common) -> DataFrame:
-    """Links of one round: each class goes to its list with most members, long lists in parts, and each part is one tree."""
+def _home_links(members: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, common) -> DataFrame:
+    """(u, v) of one component: each class goes to two of its lists, long lists in parts, and each part is one tree."""
     sizes = members.groupBy("token").agg(F.count("*").alias("size"))
-    weight = F.col("size") if number == 0 else F.xxhash64("token", F.lit(number))
-    homes = members.join(sizes, "token").groupBy("class").agg(F.max(F.struct(weight.alias("weight"), "token")).alias("home"), F.first("n").alias("n"), F.first("component").alias("component"))
-    homes = stored(homes.select("class", "n", "component", F.col("home.token").alias("home")), "homes")
-    loads = homes.groupBy("home").agg(F.sum("n").alias("load"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b")
-    parts = loads.select("home", F.ceil(F.col("load") / GROUP).cast("int").alias("parts"))
-    dealt = homes.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("class", F.lit(number)), "parts").cast("int"))
-    dealt = stored(dealt.select("home", "part", "class", "component").join(classes, "class"), "dealt")
-    texts = docs.join(small_side(dealt), docs["doc_id"] == dealt["rep"]).select("text", "home", "part", "class", "component")
-    sets = texts.mapInArrow(_group_sets(width, percent, common), "token long, part int, class long, component long, posted array<long>, others array<long>")
+    longest, other = F.max(F.struct("size", "token"))["token"], F.max(F.struct(F.xxhash64("token").alias("h"), "token"))["token"]
+    homes = members.join(sizes, "token").groupBy("class").agg(F.array(longest, other).alias("homes"), F.first("n").alias("n"))
+    homes = stored(homes.select("class", "n", F.posexplode("homes").alias("place", "home")), "homes")
+    loads = homes.groupBy("home", "place").agg(F.sum("n").alias("load"), F.count("*").alias("held")).filter("held > 1")
+    parts = loads.select("home", "place", F.ceil(F.col("load") / GROUP).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("class", "place"), "parts").cast("int") * 2 + F.col("place")
+    dealt = homes.join(parts, ["home", "place"]).groupBy("class").agg(F.collect_set(F.struct("home", part.alias("part"))).alias("homes"))
+    dealt = stored(dealt.join(classes, "class"), "dealt")
+    texts = docs.join(small_side(dealt), docs["doc_id"] == dealt["rep"]).select("text", "class", "homes")
+    sets = texts.mapInArrow(_group_sets(width, percent, common), "token long, part int, class long, posted array<long>, others array<long>")
     grouped = sets.repartition("token", "part").sortWithinPartitions("token", "part")
-    links = stored(grouped.mapInArrow(_tree_links(percent), "u long, v long").distinct(), "links")
+    links = stored(grouped.mapInArrow(_tree_links(percent), "u long, v long"), "links")
     forget(homes, dealt)
     return links
 
@@ -525,16 +521,13 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, c
     repeated = posted.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token")
     members = stored(posted.join(repeated, "token").distinct(), "members")
     forget(posted)
-    links, joined = None, None
-    for number in range(ROUNDS):
-        open_rows = stored(_named(members, joined), "open-rows")
-        more = _round(open_rows, number, docs, classes, width, percent, common)
-        links = more if links is None else links.union(more)
-        joined = stored(components(links), "joined")
-        forget(open_rows)
-    open_rows = stored(_named(members, joined), "open-rows")
+    links = _home_links(members, docs, classes, width, percent, common)
+    joined = stored(components(links), "joined")
+    known = members.join(joined, members["class"] == joined["node"], "left").select(*members.columns, F.coalesce("component", "class").alias("component"))
+    open_lists = known.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("token")
+    open_rows = stored(known.join(open_lists, "token"), "open-rows")
     pairs = _open_pairs(open_rows, docs, classes, width, percent, chunk, common)
-    links = links.union(_linked(pairs, docs, classes, width, percent))
+    links = joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(_linked(pairs, docs, classes, width, percent))
 
     found = stored(components(links), "found")
     named = classes.join(found, classes["class"] == found["node"], "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
