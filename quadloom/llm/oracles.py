@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quadloom.llm.mixing import BITS, ROUNDS
+from quadloom.llm.quality import CLASS_DISTANCE, WORD_DISTANCE
 
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
@@ -88,7 +89,7 @@ def _shares(counts: str) -> str:
 
 QUALITY = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, {WORDS} AS w FROM documents),
-c AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM d) WHERE length(x) <= 5 GROUP BY ALL),
+c AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM d) GROUP BY ALL),
 k AS (SELECT lang, list(x ORDER BY n DESC, x)[:24] AS common FROM c GROUP BY lang),
 t AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM t WHERE (doc_id, g) IN (SELECT doc_id, g FROM t GROUP BY ALL HAVING count(*) > 1)) GROUP BY doc_id),
@@ -101,6 +102,6 @@ m AS (SELECT d.doc_id, d.lang, len(w) AS n_words, length(array_to_string(w, ''))
 v AS (SELECT * REPLACE (list_append(cl, chars - list_sum(cl)) AS cl, list_append(wo, n_words - coalesce(list_sum(wo), 0)) AS wo) FROM m),
 f AS (SELECT lang, {_shares('cl')} AS class_shares, {_shares('wo')} AS word_shares FROM (SELECT lang, sum(n_words) AS n,
   [{', '.join(f'sum(cl[{i}])' for i in range(1, 7))}] AS cl, [{', '.join(f'sum(coalesce(wo[{i}], 0))' for i in range(1, 26))}][:max(len(wo))] AS wo FROM v GROUP BY lang) WHERE n >= 2000),
-j AS (SELECT v.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN n_words >= 100 AND class_shares IS NOT NULL THEN {_distance(_shares('cl'), 'class_shares')} ELSE 0 END AS cd, CASE WHEN n_words >= 100 AND word_shares IS NOT NULL THEN {_distance(_shares('wo'), 'word_shares')} ELSE 0 END AS wd FROM v LEFT JOIN f ON f.lang = v.lang)
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND cd <= 0.25 AND wd <= 0.32 AS kept FROM j
+j AS (SELECT v.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN n_words >= 50 AND class_shares IS NOT NULL THEN {_distance(_shares('cl'), 'class_shares')} ELSE 0 END AS cd, CASE WHEN n_words >= 50 AND word_shares IS NOT NULL THEN {_distance(_shares('wo'), 'word_shares')} ELSE 0 END AS wd FROM v LEFT JOIN f ON f.lang = v.lang)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND cd <= {CLASS_DISTANCE} * sqrt(greatest(1.0, 100.0 / greatest(n_words, 1))) AND wd <= {WORD_DISTANCE} * sqrt(greatest(1.0, 100.0 / greatest(n_words, 1))) AS kept FROM j
 """

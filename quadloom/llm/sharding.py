@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadloom.llm.shared import fresh
+
 
 def hash_bits(text: Column, digits: int = 13) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
@@ -32,7 +34,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, weights: list[float] | None
 
     The law is `key`: key and shard count decide. grown_shard is the shard with one more shard of weight 1. A null text
     has size 1 and the checksum of an empty text. Rows that repeat a key share a shard, each with its own slot; slots
-    follow (bin of the key and text, key, size, checksum). A column of docs with a name used here is replaced.
+    follow (bin of key and text, key, size, checksum), and rows alike in all of these are in no stated order. A column of docs with the name of an output is replaced, every other is kept; an empty table gives no rows.
     """
     weights = list(weights or [1.0] * shards)
     if len(weights) != shards or min(weights) <= 0:
@@ -47,13 +49,16 @@ def assign_shards(docs: DataFrame, shards: int = 16, weights: list[float] | None
             "grown_shard": rendezvous(F.col(key), [*weights, 1.0]),
         }
     )
-    bin_key = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit("/"), F.col("text_crc32").cast("string"))
-    out = out.withColumn("_bin", F.pmod(hash_bits(bin_key), F.lit(bins)).cast("int"))
-    counts = out.groupBy("shard", "_bin").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy("shard").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_bin", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("shard", "_bin").orderBy(F.col(key).asc_nulls_first(), "size", "text_crc32")
-    placed = out.withColumn("_place", F.row_number().over(within) - 1)
+    bin_, start, place, rows = fresh(out, "_bin", "_start", "_place", "_rows")
+    named = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    bin_key = F.concat_ws("/", named, F.col("text_crc32").cast("string"))
+    spread = F.pmod(hash_bits(bin_key), F.lit(bins)).cast("int")
+    out = out.withColumn(bin_, spread)
+    counts = out.groupBy("shard", bin_).agg(F.count("*").alias(rows))
+    before = Window.partitionBy("shard").orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", bin_, F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy("shard", bin_).orderBy(F.col(key).asc_nulls_first(), "size", "text_crc32")
+    placed = out.withColumn(place, F.row_number().over(within) - 1)
     # at most (shards * bins) rows, whatever the input
-    placed = placed.join(F.broadcast(starts), ["shard", "_bin"])
-    return placed.withColumn("slot", (F.col("_start") + F.col("_place")).cast("long")).drop("_bin", "_start", "_place")
+    placed = placed.join(F.broadcast(starts), ["shard", bin_])
+    return placed.withColumn("slot", (F.col(start) + F.col(place)).cast("long")).drop(bin_, start, place)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -184,6 +185,32 @@ def test_shards(spark):
     assert all(r.size == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
 
 
+def brute_shard(key, weights):
+    """Rendezvous hashing by hand: the highest -weight / ln(u), the lower shard of equal ones."""
+
+    def score(k, w):
+        bits = int(hashlib.md5(f"{'null' if key is None else key}:{k}".encode()).hexdigest()[:13], 16)
+        return -w / math.log((bits + 0.5) / (1 << 52))
+
+    return max(range(len(weights)), key=lambda k: (score(k, weights[k]), -k))
+
+
+def test_shards_equal_brute_force(spark):
+    rows = queries.op6_sharding(spark, MEDIUM).collect()
+    assert len(rows) == 1000
+    for r in rows:
+        assert (r.shard, r.grown_shard) == (brute_shard(r.doc_id, [1.0] * 16), brute_shard(r.doc_id, [1.0] * 17)), r
+    weights = [1.0, 2.5, 0.5]
+    for r in assign_shards(odd_rows(spark, ODD), 3, weights).collect():
+        assert (r.shard, r.grown_shard) == (brute_shard(r.doc_id, weights), brute_shard(r.doc_id, [*weights, 1.0]))
+
+
+def test_shards_keep_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", "x", 7, 8)], "doc_id long, text string, _start string, _bin int, _place int")
+    row = assign_shards(docs).first()
+    assert (row._start, row._bin, row._place, row.slot) == ("x", 7, 8, 0)
+
+
 def test_shards_weights_and_odd_rows(spark):
     rows = assign_shards(spark.range(4000).selectExpr("id as doc_id", "'t' as text"), 2, [3.0, 1.0]).collect()
     assert 2850 < sum(r.shard == 0 for r in rows) < 3150

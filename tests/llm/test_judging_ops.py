@@ -157,13 +157,14 @@ def test_mixing_keeps_every_row_and_meets_the_limit(spark):
 
 def test_mixing_entropy_and_odd_rows(spark):
     rows = [(i, "w " * 10, "en", "a" if i % 10 else "b", None, 1, None, None) for i in range(400)]
-    out = mix_sources(odd(spark, rows), max_repetition=None, target_entropy=0.9, blocks=8).groupBy("source").count().collect()
+    out = mix_sources(odd(spark, rows), max_repetition=8.0, target_entropy=0.9, blocks=8).groupBy("source").count().collect()
     p = {r["source"]: r["count"] / sum(x["count"] for x in out) for r in out}
     entropy = -sum(x * math.log(x) for x in p.values()) / math.log(2)
     assert abs(entropy - 0.9) < 0.05 and min(p.values()) > 0.2
     assert mix_sources(odd(spark)).count() >= len(ODD) and mix_sources(odd(spark, [])).count() == 0
-    with pytest.raises(ValueError):
-        mix_sources(odd(spark), max_repetition=2.0, target_entropy=0.5)
+    tiny = [(0, "one", "en", "tiny", None, 1, None, None)] + [(i, "w " * 100, "en", "big", None, 1, None, None) for i in range(1, 2001)]
+    copies = Counter(r["source"] for r in mix_sources(odd(spark, tiny), max_repetition=4.0, target_entropy=1.0).collect())
+    assert copies["big"] == 2000 and 1 <= copies["tiny"] <= 4
 
 
 BASE = {

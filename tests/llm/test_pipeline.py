@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quadloom.llm.quality import judge_quality
 
@@ -48,3 +50,16 @@ def test_stages_take_empty_and_odd_tables(spark):
         docs = spark.createDataFrame(rows, schema)
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, SMALL).count() <= 2 * len(rows)
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    names = ["epoch", "_source", "_block", "_start", "_common", "_m", "_id", "_key", "_gone", "order_key", "class"]
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{k}-"), F.col("doc_id").cast("string")))
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SMALL)
+        rows = docs.collect()
+        assert rows and all(r[name] == f"{k}-{r.doc_id}" for r in rows for k, name in enumerate(names))
+        docs = spark.createDataFrame(rows, docs.schema)
