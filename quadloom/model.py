@@ -20,6 +20,8 @@ SUBJECT, PREDICATE, OBJECT, STATEMENT = f"{RDF}subject", f"{RDF}predicate", f"{R
 LABEL, ALT_LABEL, DESCRIPTION = f"{VOCAB}prefLabel", f"{VOCAB}altLabel", f"{VOCAB}description"
 LAT, LONG, ALT = f"{GEO}lat", f"{GEO}long", f"{GEO}alt"
 LAT_LONG, POLYGON, POLYLINE, LOCATED_IN = f"{GEO}lat_long", f"{VOCAB}polygonCoordinates", f"{VOCAB}polylineCoordinates", f"{VOCAB}locatedIn"
+#: Preferred page of a record.
+URL = f"{VOCAB}prefURL"
 PART_OF = f"{DCTERMS}isPartOf"
 REVISION = f"{VOCAB}Revision"
 REVISION_META = (f"{VOCAB}revisionUri", f"{VOCAB}fromDataset", f"{VOCAB}revisionTime", f"{VOCAB}performer", f"{VOCAB}revisionStatus")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadloom.functions.uris import doc_id, local_name, route_language, safe_date
-from quadloom.model import ALT, DCTERMS, DESCRIPTIONS, LABELS, LAT, LAT_LONG, LOCATED_IN, LONG, POLYGON, POLYLINE, STATEMENT, THING, TYPE, XSD
+from quadloom.model import ALT, DCTERMS, DESCRIPTIONS, LABELS, LAT, LAT_LONG, LOCATED_IN, LONG, POLYGON, POLYLINE, STATEMENT, THING, TYPE, URL, XSD
 
 GEO_PROPERTIES = (LAT, LONG, ALT, LAT_LONG, POLYGON, POLYLINE, LOCATED_IN)
 INTEGERS = tuple(f"{XSD}{t}" for t in ("int", "integer", "long", "short", "byte"))
@@ -128,7 +128,9 @@ def field_in_use(catalog: DataFrame, name: str) -> bool:
 
 
 def build_index(quads: DataFrame, statements: DataFrame, properties: DataFrame, class_closure: DataFrame, supported: list[str], published: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(docs, doc_fields). With `published` (g, s), only those records are indexed (a rebuild from the stored quads)."""
+    """(docs, doc_fields). docs has uid, dataset, uri, types, inferred_types, pref_label (default language first), labels (by
+    language), alt_labels, description, located_in, pref_url (its first) and points. With `published` (g, s), only those records are
+    indexed (a rebuild from the stored quads)."""
     records = classify_subjects(quads).filter("class = 'record'").select("g", "s")
     if published is not None:
         records = records.join(published.select("g", "s").distinct(), ["g", "s"], "left_semi")
@@ -136,9 +138,18 @@ def build_index(quads: DataFrame, statements: DataFrame, properties: DataFrame,
     types = with_uid(mine.filter(F.col("p") == TYPE)).select("uid", F.col("o").alias("type"), "pos")
     own = types.groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("pos", "type"))).alias("t")).select("uid", F.transform("t", lambda x: x["type"]).alias("types"))
     inferred = infer_types(types.select("uid", "type"), class_closure).groupBy("uid").agg(F.sort_array(F.collect_set("inferred")).alias("inferred_types"))
-    names = index_labels(mine, supported).groupBy("uid").agg(F.min(F.struct(F.when(F.col("lang") == supported[0], 0).otherwise(1), "lang", "pref_label"))["pref_label"].alias("pref_label"))
+    best = F.min(F.struct(F.when(F.col("lang") == supported[0], 0).otherwise(1), "lang", "pref_label"))["pref_label"]
+    by_lang = F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "pref_label"))))
+    names = index_labels(mine, supported).groupBy("uid").agg(best.alias("pref_label"), by_lang.alias("labels"), F.sort_array(F.flatten(F.collect_list("alt_labels"))).alias("alt_labels"))
+    said = with_uid(mine.filter(F.col("p").isin(*DESCRIPTIONS, LOCATED_IN, URL))).groupBy("uid").agg(
+        F.sort_array(F.collect_set(F.when(F.col("p").isin(*DESCRIPTIONS), F.col("o")))).alias("description"),
+        F.sort_array(F.collect_set(F.when(F.col("p") == LOCATED_IN, F.col("o")))).alias("located_in"),
+        F.min(F.when(F.col("p") == URL, F.struct("pos", "o")))["o"].alias("pref_url"),
+    )
     points = index_geo(mine).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("kind", "lat", "long", "alt"))).alias("points"))
-    docs = with_uid(records).withColumnsRenamed({"g": "dataset", "s": "uri"}).join(own, "uid", "left").join(inferred, "uid", "left").join(names, "uid", "left").join(points, "uid", "left")
+    docs = with_uid(records).withColumnsRenamed({"g": "dataset", "s": "uri"})
+    for part in (own, inferred, names, said, points):
+        docs = docs.join(part, "uid", "left")
     literals = single_valued(index_literals(mine, properties, supported))
     objects = index_object_labels(mine, quads)
     blank = {c: F.lit(None).cast(t) for c, t in (("lang", "string"), ("date", "timestamp"), ("int", "long"), ("float", "double"), ("pos", "long"))}

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadloom.functions.uris import base_of, local_name, resolve_reference
-from quadloom.model import DESCRIPTIONS, LABELS, OBJECT, PREDICATE, STATEMENT, SUBJECT, THING, TYPE
+from quadloom.functions.uris import base_of, is_valid_iri, local_name, resolve_reference
+from quadloom.model import DESCRIPTIONS, LABELS, OBJECT, PREDICATE, RDFS, STATEMENT, SUBJECT, THING, TYPE
 
 
 def split_values(rows: DataFrame, separator: str = "||") -> DataFrame:
@@ -54,15 +54,23 @@ def map_attributes(rows: DataFrame, linkage: DataFrame, base: str) -> DataFrame:
     return out.withColumn("p", F.coalesce("_to", own)).drop("_to")
 
 
+def mapping_triples(linkage: DataFrame, target: str = f"{RDFS}subClassOf", sub_property: str = f"{RDFS}subPropertyOf") -> DataFrame:
+    """(s, p, o) that say what a linkage added: a linked type is under its class, a linked attribute under its property, for
+    names that are URIs of their own."""
+    known = linkage.filter(is_valid_iri(F.col("name")) & (F.col("name") != F.col("map_to")))
+    said = F.when(F.col("kind") == "type", target).otherwise(sub_property)
+    return known.select(F.col("name").alias("s"), said.alias("p"), F.col("map_to").alias("o")).distinct()
+
+
 def map_types(rows: DataFrame, linkage: DataFrame, default: str = THING) -> DataFrame:
     """rec, type -> rec, class: the linked class, else default. Names compare exactly."""
     known = linkage.filter("kind = 'type'").select(F.col("name").alias("type"), F.col("map_to").alias("class"))
     return rows.join(known, "type", "left").withColumn("class", F.coalesce("class", F.lit(default)))
 
 
-def resolve_references(rows: DataFrame, base: str) -> DataFrame:
-    """Adds o and o_kind from value by its @ and @@ marks."""
-    return rows.withColumns({"o": resolve_reference(F.col("value"), base), "o_kind": F.when(F.col("value").startswith("@"), "uri").otherwise("literal")})
+def resolve_references(rows: DataFrame, base: str, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """Adds o and o_kind from value by its @ and @@ marks; prefixes are expanded behind @@."""
+    return rows.withColumns({"o": resolve_reference(F.col("value"), base, prefixes), "o_kind": F.when(F.col("value").startswith("@"), "uri").otherwise("literal")})
 
 
 def statement_id(s: Column, p: Column, o: Column) -> Column:

@@ -22,10 +22,15 @@ KINDS = {"class": f"{OWL}Class", "datatype": f"{RDFS}Datatype", "data_property":
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder named in spark.checkpoint.dir; one of our own only where the session names none."""
+    """checkpoint() into the folder named in spark.checkpoint.dir. Only a local master may go without: it gets a temporary
+    folder."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadloom-", dir="/tmp")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="quadloom-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
@@ -191,3 +196,11 @@ def export_schema(ontology: DataFrame, format: str = "json") -> DataFrame:
         lists = [F.concat_ws("", F.transform(f, lambda x, f=f: F.concat(F.lit(f"<{f}>"), text(x), F.lit(f"</{f}>")))) for f in fields]
         body = F.concat(F.lit('<entity uri="'), text(F.col("s")), F.lit('"><prefLabel>'), text(F.col("label")), F.lit("</prefLabel><description>"), text(F.col("description")), F.lit("</description>"), *lists, F.lit("</entity>"))
     return rows.select("kind", F.col("s").alias("uri"), body.alias("line"))
+
+
+def index_ontology(quads: DataFrame, statements: DataFrame, properties: DataFrame, edges: DataFrame, supported: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(docs, doc_fields) of an ontology's entities: each is one record with the kinds that all its declarations give it, and
+    types are inferred along edges (sub, super)."""
+    from quadloom.operators.index import build_index
+
+    return build_index(merged_kinds(quads), statements, properties, class_closure(edges), supported)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadloom.functions.uris import tokens
+from quadloom.functions.uris import query_words, tokens
 from quadloom.model import RDFS
 from quadloom.operators.search import distance_column
 
@@ -18,7 +16,7 @@ def score_text(texts: DataFrame, query: str, field_weights: dict[str, float] | N
     """(uid, score): sum over fields of weight * BM25 (k1 1.2, b 0.75). texts has uid, field and text; document counts and
     mean lengths are those of each field over the whole table. Term rows are narrowed to the query's words first; the
     document frequencies are one row per field and query word."""
-    wanted = F.array(*map(F.lit, sorted(set(re.findall(r"\w+", query.lower())))))
+    wanted = F.array(*map(F.lit, sorted(set(query_words(query)))))
     rows = texts.select("uid", "field", tokens(F.col("text")).alias("w")).select("uid", "field", F.size("w").alias("length"), F.filter("w", lambda x: F.array_contains(wanted, x)).alias("hits"))
     if field_weights:
         rows = rows.filter(F.col("field").isin(list(field_weights)))
@@ -53,7 +51,7 @@ def boost(docs: DataFrame, types: dict[str, float] | None = None, datasets: dict
 
 def boost_phrase(fields: DataFrame, query: str, attr_weights: dict[str, float], slop: int = 0) -> DataFrame:
     """(uid, boost): weight for each value in which all query words stand within a window of their number plus slop."""
-    words = re.findall(r"\w+", query.lower())
+    words = query_words(query)
     width = len(words) + slop
     rows = fields.filter(F.col("attr").isin(list(attr_weights))).select("uid", "attr", tokens(F.col("value")).alias("w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))
@@ -120,16 +118,18 @@ def facet_core(docs: DataFrame, fields: DataFrame, inference: bool = True) -> Da
 
 
 def facet_values(fields: DataFrame, attrs: list[str], n: int = 10) -> DataFrame:
-    """(attr, value, n): the n commonest values of each attribute (-1: all), ties by value. Where an attribute has object
+    """(attr, value, kind, n): the n commonest values of each attribute (-1: all), ties by value. kind is literal, uri, or
+    uriliteral for an attribute that has both sorts of values. Where an attribute has object
     values, its literals are left out. Counts are of distinct records and are combined before the shuffle."""
     rows = fields.filter(F.col("attr").isin(attrs)).select("uid", "attr", F.coalesce("obj_uri", "value").alias("value"), F.col("obj_uri").isNotNull().alias("is_uri")).distinct()
     counts = rows.groupBy("attr", "value", "is_uri").agg(F.count("*").alias("n"))
-    objects = counts.filter("is_uri").select("attr").distinct()
-    counts = counts.filter("is_uri").unionByName(counts.filter("NOT is_uri").join(objects, "attr", "left_anti"))
+    sorts = counts.groupBy("attr").agg(F.max("is_uri").alias("any_uri"), F.min("is_uri").alias("all_uri"))
+    kind = F.when(~F.col("any_uri"), "literal").when(F.col("all_uri"), "uri").otherwise("uriliteral")
+    counts = counts.join(sorts, "attr").filter(F.col("is_uri") == F.col("any_uri")).withColumn("kind", kind)
     if n >= 0:
         best = Window.partitionBy("attr").orderBy(F.desc("n"), "value")
         counts = counts.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= n)
-    return counts.select("attr", "value", "n")
+    return counts.select("attr", "value", "kind", "n")
 
 
 def search_results(docs: DataFrame, fields: DataFrame, scores: DataFrame | None = None, exclude: list[str] | None = None) -> DataFrame:
@@ -142,14 +142,24 @@ def search_results(docs: DataFrame, fields: DataFrame, scores: DataFrame | None
     return out if scores is None else out.join(scores, "uid")
 
 
-def suggest(terms: DataFrame, vocabulary: DataFrame, distance: int = 2) -> DataFrame:
-    """(term, suggestion, freq, edits) for terms (term) that the vocabulary (term, freq) lacks: near words, best first by
-    edits, frequency, word. Candidates share their first letter and nearly their length, so there is no cross join."""
-    unknown = terms.select("term").distinct().join(vocabulary.select("term"), "term", "left_anti")
-    unknown = unknown.select("term", F.substring("term", 1, 1).alias("c"), F.explode(F.sequence(F.length("term") - distance, F.length("term") + distance)).alias("len"))
-    words = vocabulary.select(F.col("term").alias("suggestion"), "freq", F.substring("term", 1, 1).alias("c"), F.length("term").alias("len"))
-    near = unknown.join(words, ["c", "len"]).withColumn("edits", F.levenshtein("term", "suggestion", distance)).filter("edits >= 0")
-    return near.select("term", "suggestion", "freq", "edits")
+def deletions(word: Column, most: int) -> Column:
+    """The word and what is left of it without any 1 to `most` of its letters."""
+    out = F.array(word)
+    for _ in range(most):
+        shorter = F.transform(out, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))))
+        out = F.array_distinct(F.concat(out, F.flatten(F.filter(shorter, lambda x: F.size(x) > 0))))
+    return out
+
+
+def suggest(terms: DataFrame, vocabulary: DataFrame, distance: int = 2, longest: int = 40) -> DataFrame:
+    """(term, suggestion, freq, edits) for terms (term) of 1 to `longest` letters that the vocabulary (term, freq) lacks: words
+    within `distance` edits. Two words that near are equal after some deletions in either, so they meet in a join on those."""
+    unknown = terms.select("term").distinct().join(vocabulary.select("term"), "term", "left_anti").filter(F.length("term").between(1, longest))
+    left = unknown.select("term", F.explode(deletions(F.col("term"), distance)).alias("key"))
+    words = vocabulary.select(F.col("term").alias("suggestion"), "freq").filter(F.length("suggestion").between(1, longest + distance))
+    right = words.select("suggestion", "freq", F.explode(deletions(F.col("suggestion"), distance)).alias("key"))
+    near = left.join(right, "key").select("term", "suggestion", "freq").distinct()
+    return near.withColumn("edits", F.levenshtein("term", "suggestion", distance)).filter("edits >= 0")
 
 
 def collate(suggestions: DataFrame) -> DataFrame:

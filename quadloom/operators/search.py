@@ -3,14 +3,13 @@ doc_fields are the tables of build_index."""
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.functions.uris import great_circle_km, tokens
+from quadloom.functions.uris import great_circle_km, query_words, tokens
 
 KM_PER_MILE = 1.60934
 #: Short names of the core fields and the columns of docs they stand for.
@@ -22,10 +21,14 @@ def term_rows(texts: DataFrame, column: str = "text") -> DataFrame:
     return texts.select("uid", F.explode(tokens(F.col(column))).alias("term")).distinct()
 
 
-def filter_text(texts: DataFrame, query: str, operator: str = "and", min_match: int | None = None, column: str = "text") -> DataFrame:
-    """Documents of texts (uid, text) with all, any, or at least min_match of the distinct query words. An empty query
-    matches everything. Rows are narrowed to the query's words before anything is shuffled."""
-    wanted = sorted(set(re.findall(r"\w+", query.lower())))
+def filter_text(texts: DataFrame, query: str, operator: str = "and", min_match: int | None = None, column: str = "text", lang: str | None = None, fields: list[str] | None = None) -> DataFrame:
+    """Documents of texts (uid, text) with all, any, or at least min_match of the distinct query words. With lang or fields,
+    only texts of that language (column lang) or of those fields (column field) are searched; a document's fields count
+    together. An empty query matches every document that has a text there. Rows are narrowed to the query's words before
+    anything is shuffled."""
+    texts = texts if lang is None else texts.filter(F.col("lang") == lang)
+    texts = texts if fields is None else texts.filter(F.col("field").isin(fields))
+    wanted = sorted(set(query_words(query)))
     if not wanted:
         return texts.select("uid").distinct()
     least = min_match if min_match is not None else len(wanted) if operator == "and" else 1
@@ -98,7 +101,9 @@ def filter_core(docs: DataFrame, name: str, value: str) -> DataFrame:
     if short in ("polygon", "polyline"):
         return docs.filter(F.exists("points", lambda p: p["kind"] == short)).select("uid").distinct()
     column = CORE[short]
-    is_list = dict(docs.dtypes)[column].startswith("array")
+    is_list = dict(docs.dtypes).get(column, "").startswith("array")
+    if column not in docs.columns:
+        raise ValueError(f"docs has no column {column}; build_index makes it")
     return docs.filter(F.array_contains(column, value) if is_list else F.col(column) == value).select("uid").distinct()
 
 
@@ -131,15 +136,27 @@ class Not:
     part: object
 
 
-def filter_expression(docs: DataFrame, expression, known: set[str] | None = None) -> DataFrame:
-    """Set algebra on uids over a tree of And, Or, Not and Attr; an attribute outside `known` is an error."""
+@dataclass(frozen=True)
+class Dataset:
+    """A leaf: the records of one dataset."""
+
+    uri: str
+
+
+def filter_expression(docs: DataFrame, expression, known: set[str] | None = None, accessible: DataFrame | None = None) -> DataFrame:
+    """Set algebra on uids over a tree of And, Or, Not, Attr and Dataset. An attribute outside `known` is an error, and so is a
+    dataset that `accessible` (dataset) does not hold."""
+    if isinstance(expression, Dataset):
+        if accessible is not None and accessible.filter(F.col("dataset") == expression.uri).isEmpty():
+            raise ValueError(f"no access to {expression.uri}")
+        return docs.filter(F.col("dataset") == expression.uri).select("uid").distinct()
     if isinstance(expression, Attr):
         if known is not None and expression.name not in known:
             raise ValueError(f"unknown attribute {expression.name}")
         return docs.join(expression.uids, "uid", "left_semi").select("uid").distinct()
     if isinstance(expression, Not):
-        return docs.select("uid").distinct().join(filter_expression(docs, expression.part, known), "uid", "left_anti")
-    parts = [filter_expression(docs, p, known) for p in expression.parts]
+        return docs.select("uid").distinct().join(filter_expression(docs, expression.part, known, accessible), "uid", "left_anti")
+    parts = [filter_expression(docs, p, known, accessible) for p in expression.parts]
     return combine(parts, "and" if isinstance(expression, And) else "or")
 
 

@@ -71,11 +71,16 @@ def delete_records(store: Store, keys: DataFrame, mode: str = "soft") -> Store:
 
 def delete_dataset(store: Store, dataset: str) -> Store:
     """Everything of the dataset goes; refused if it holds an ontology. store may hold datasets, access, quads, statements,
-    revisions, docs."""
+    revisions, revision_quads, docs and doc_fields; what has no dataset of its own goes with its revision or document."""
     if not store["datasets"].filter((F.col("dataset") == dataset) & F.col("holds_ontology")).isEmpty():
         raise ValueError("the dataset holds an ontology")
     column = {"quads": "g", "statements": "g"}
-    return {t: rows.filter(F.col(column.get(t, "dataset")) != dataset) if column.get(t, "dataset") in rows.columns else rows for t, rows in store.items()}
+    out = {t: rows.filter(F.col(column.get(t, "dataset")) != dataset) if column.get(t, "dataset") in rows.columns else rows for t, rows in store.items()}
+    for owner, owned, key in (("revisions", "revision_quads", "rev_uri"), ("docs", "doc_fields", "uid")):
+        if owner in store and owned in store:
+            gone = store[owner].filter(F.col("dataset") == dataset).select(key)
+            out[owned] = store[owned].join(gone, key, "left_anti")
+    return out
 
 
 def create_dataset(datasets: DataFrame, new: DataFrame) -> DataFrame:

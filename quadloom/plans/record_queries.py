@@ -57,20 +57,10 @@ def s3(t: Tables) -> DataFrame:
     return readers.parse_sectioned_csv(files).select(F.col("id").cast("long").alias("id"), "attr", "cell")
 
 
-@query("s4_read_record_json", "SELECT n_nationkey AS id, 'name' AS attr, 0 AS pos, n_name AS value, NULL AS ref, NULL AS near FROM nation UNION ALL SELECT n_nationkey, 'region', 0, NULL, '@region/' || n_regionkey, 'yes' FROM nation UNION ALL SELECT n_nationkey, 'tag', i, n_name || ' ' || i, NULL, NULL FROM nation, range(3) r(i) UNION ALL SELECT n_nationkey, 'type', 0, 'Object', NULL, NULL FROM nation")
-def s4(t: Tables) -> DataFrame:
-    tags = F.array(*[F.concat("n_name", F.lit(f" {i}")) for i in range(3)])
-    record = F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.struct(F.concat(F.lit("@region/"), F.col("n_regionkey").cast("string")).alias("ref"), F.lit("yes").alias("near")).alias("region"), tags.alias("tag"))
-    files = t.raw("nation").groupBy("n_regionkey").agg(F.collect_list(record).alias("recordList"))
-    files = files.select(F.col("n_regionkey").cast("string").alias("path"), F.to_json(F.struct(F.struct(F.lit("nations").alias("prefLabel")).alias("dataset"), "recordList")).alias("content"))
-    records, _, _ = readers.parse_record_json(files)
-    return records.select(F.col("id").cast("long").alias("id"), "attr", "pos", "value", "ref", F.col("meta")["near"].alias("near"))
-
-
 NAMED = "SELECT c_custkey * 2 AS id, c_name AS name, 'nation/' || c_nationkey AS ref FROM customer UNION ALL SELECT doc_id * 2 + 1, text, 'source/' || source FROM documents WHERE text <> '' AND source IS NOT NULL"
 
 
-@query("s4_read_all_record_json", "SELECT id, 'name' AS attr, 0 AS pos, md5(name) AS value, NULL AS ref, NULL AS near FROM named UNION ALL SELECT id, 'home', 0, NULL, '@' || ref, 'yes' FROM named UNION ALL SELECT id, 'tag', i, md5(ref || ' ' || i), NULL, NULL FROM named, range(3) r(i) UNION ALL SELECT id, 'type', 0, md5('Object'), NULL, NULL FROM named", named=NAMED)
+@query("s4_read_record_json", "SELECT id, 'name' AS attr, 0 AS pos, md5(name) AS value, NULL AS ref, NULL AS near FROM named UNION ALL SELECT id, 'home', 0, NULL, '@' || ref, 'yes' FROM named UNION ALL SELECT id, 'tag', i, md5(ref || ' ' || i), NULL, NULL FROM named, range(3) r(i) UNION ALL SELECT id, 'type', 0, md5('Object'), NULL, NULL FROM named", named=NAMED)
 def s4b(t: Tables) -> DataFrame:
     """Customers and documents in files of about 200 records, dealt by key."""
     customers = t.raw("customer").selectExpr("CAST(c_custkey AS LONG) * 2 AS id", "c_name AS name", "'nation/' || CAST(c_nationkey AS STRING) AS ref")
@@ -115,31 +105,17 @@ def k3(t: Tables) -> DataFrame:
     return writers.record_json_lines(t.quads("part", "nation"))
 
 
-@query("k4_write_sectioned_csv", f"""SELECT '{DS}nation/' || n_nationkey || ',@@onto:Nation,onto_region_placeholder' AS value FROM nation WHERE false
-UNION ALL SELECT '{DS}nation/' || n_nationkey || ',@@onto:Nation,' || CAST((n_nationkey * 7) % 120 - 60 AS STRING) || ',' || CAST((n_nationkey * 13) % 300 - 150 AS STRING) || ',@@{DS}region/' || n_regionkey || ',' || n_name FROM nation
-UNION ALL SELECT '&&recordList' UNION ALL SELECT '&id,&type,&geo:lat,&geo:long,&onto:region,&v:prefLabel'""")
-def k4(t: Tables) -> DataFrame:
-    prefixes = t.spark.createDataFrame([("onto", ONTO), ("geo", LAT[: -len("lat")]), ("v", VOCAB)], "prefix string, uri string")
-    return writers.sectioned_csv_lines(t.quads("nation"), prefixes)[0]
-
-
-@query("k5_write_linked_json", f"""SELECT '{{"id":"' || n_nationkey || '","lat":["' || CAST((n_nationkey * 7) % 120 - 60 AS STRING) || '"],"long":["' || CAST((n_nationkey * 13) % 300 - 150 AS STRING) || '"],"name":["' || n_name || '"],"region":["@@{DS}region/' || n_regionkey || '"],"type":["Country"]}}' AS value FROM nation""")
-def k5(t: Tables) -> DataFrame:
-    linkage = t.spark.createDataFrame([("attribute", "name", LABEL), ("type", "Country", f"{ONTO}Nation")], "kind string, name string, map_to string")
-    return writers.linked_json_lines(t.quads("nation"), linkage)
-
-
 HOLDERS = f"""SELECT g, s, max(o) FILTER (p = '{TYPE}') AS cls, max(o) FILTER (p = '{LABEL}') AS name, max(o) FILTER (p = '{ONTO}acctbal') AS bal, max(o) FILTER (p = '{ONTO}nation') AS nation FROM quads WHERE g IN ('{DS}supplier/', '{DS}customer/') GROUP BY g, s"""
 
 
-@query("k4_write_all_sectioned_csv", f"""SELECT s || ',@@onto:' || {LOCAL.format('cls')} || ',' || bal || ',@@' || nation || ',' || name AS value FROM holders
+@query("k4_write_sectioned_csv", f"""SELECT s || ',@@onto:' || {LOCAL.format('cls')} || ',' || bal || ',@@' || nation || ',' || name AS value FROM holders
 UNION ALL SELECT '&&recordList' UNION ALL SELECT '&id,&type,&onto:acctbal,&onto:nation,&v:prefLabel'""", holders=HOLDERS)
 def k4b(t: Tables) -> DataFrame:
     prefixes = t.spark.createDataFrame([("onto", ONTO), ("v", VOCAB)], "prefix string, uri string")
     return writers.sectioned_csv_lines(t.quads("supplier", "customer"), prefixes)[0]
 
 
-@query("k5_write_all_linked_json", f"""SELECT '{{"id":"' || {LOCAL.format('s')} || '","acctbal":["' || bal || '"],"name":["' || name || '"],"nation":["@@' || nation || '"],"type":["' || CASE WHEN cls = '{ONTO}Supplier' THEN 'Vendor' ELSE {LOCAL.format('cls')} END || '"]}}' AS value FROM holders""", holders=HOLDERS)
+@query("k5_write_linked_json", f"""SELECT '{{"id":"' || {LOCAL.format('s')} || '","acctbal":["' || bal || '"],"name":["' || name || '"],"nation":["@@' || nation || '"],"type":["' || CASE WHEN cls = '{ONTO}Supplier' THEN 'Vendor' ELSE {LOCAL.format('cls')} END || '"]}}' AS value FROM holders""", holders=HOLDERS)
 def k5b(t: Tables) -> DataFrame:
     linkage = t.spark.createDataFrame([("attribute", "name", LABEL), ("type", "Vendor", f"{ONTO}Supplier")], "kind string, name string, map_to string")
     return writers.linked_json_lines(t.quads("supplier", "customer"), linkage)
@@ -368,13 +344,7 @@ def b13(t: Tables) -> DataFrame:
     return index.field_catalog(index.index_literals(t.quads(), t.properties, SUPPORTED)).select("attr", "kind", "n")
 
 
-@query("b14_build_index", f"""SELECT md5(g || s) AS uid, g AS dataset, s AS uri, coalesce(max(o) FILTER (p = '{LABEL}'), {LOCAL.format('s')}) AS pref_label, max(o) FILTER (p = '{TYPE}') AS type, (SELECT string_agg(inferred, '|' ORDER BY inferred) FROM ({INFERRED}) i WHERE i.uid = md5(g || s)) AS inferred FROM quads WHERE g IN ('{DS}part/', '{DS}nation/', '{DS}supplier/', '{DS}region/') GROUP BY g, s""")
-def b14(t: Tables) -> DataFrame:
-    docs, _ = index.build_index(t.quads("part", "nation", "supplier", "region"), t.statements, t.properties, class_closure(t.class_edges), SUPPORTED)
-    return docs.select("uid", "dataset", "uri", "pref_label", F.get("types", F.lit(0)).alias("type"), F.concat_ws("|", "inferred_types").alias("inferred"))
-
-
-@query("b14_build_whole_index", f"""SELECT md5(g || s) AS uid, g AS dataset, s AS uri, coalesce(max(o) FILTER (p = '{LABEL}'), {LOCAL.format('s')}) AS pref_label, max(o) FILTER (p = '{TYPE}') AS type, (SELECT string_agg(inferred, '|' ORDER BY inferred) FROM ({INFERRED}) i WHERE i.uid = md5(g || s)) AS inferred FROM quads GROUP BY g, s""")
+@query("b14_build_index", f"""SELECT md5(g || s) AS uid, g AS dataset, s AS uri, coalesce(max(o) FILTER (p = '{LABEL}'), {LOCAL.format('s')}) AS pref_label, max(o) FILTER (p = '{TYPE}') AS type, (SELECT string_agg(inferred, '|' ORDER BY inferred) FROM ({INFERRED}) i WHERE i.uid = md5(g || s)) AS inferred FROM quads GROUP BY g, s""")
 def b14c(t: Tables) -> DataFrame:
     docs, _ = index.build_index(t.quads(), t.statements, t.properties, class_closure(t.class_edges), SUPPORTED)
     return docs.select("uid", "dataset", "uri", "pref_label", F.get("types", F.lit(0)).alias("type"), F.concat_ws("|", "inferred_types").alias("inferred"))

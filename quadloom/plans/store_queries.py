@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.model import LABEL, OWL, RDFS, THING, TYPE
 from quadloom.operators import access, ontology, patterns, revisions, tagging, writes
+from quadloom.operators.index import build_index
 from quadloom.plans.fixtures import DS, ONTO, SUPPORTED, Tables
 from quadloom.plans.record_queries import LOCAL
 from quadloom.plans.registry import query
@@ -24,18 +27,10 @@ def incoming(t: Tables) -> DataFrame:
     return rows.withColumns({"o": F.concat("o", F.lit("-new")), "pos": F.lit(7).cast("long")})
 
 
-@query("w1_create_records", f"SELECT 'kept' AS what, count(*) AS n FROM quads WHERE g = '{DS}nation/' UNION ALL SELECT 'added', count(*) FROM quads WHERE g = '{DS}region/' UNION ALL SELECT 'clash', count(DISTINCT s) FROM quads WHERE g = '{DS}nation/'")
-def w1(t: Tables) -> DataFrame:
-    store, none = store_of(t, "nation"), t.statements.limit(0)
-    out = writes.create_records(store, t.quads("region"), none)["quads"]
-    clash = writes.clashes(store, t.quads("nation", "region")).agg(F.lit("clash").alias("what"), F.count("*").alias("n"))
-    return out.groupBy(F.when(F.col("g") == f"{DS}nation/", "kept").otherwise("added").alias("what")).agg(F.count("*").alias("n")).union(clash)
-
-
 HELD = ", ".join(f"'{DS}{name}/'" for name in ("nation", "supplier", "part", "orders"))
 
 
-@query("w1_create_all_records", f"SELECT 'kept' AS what, count(*) AS n FROM quads WHERE g IN ({HELD}) UNION ALL SELECT 'added', count(*) FROM quads WHERE g NOT IN ({HELD}) UNION ALL SELECT 'clash', count(DISTINCT s) FROM quads WHERE g IN ({HELD})")
+@query("w1_create_records", f"SELECT 'kept' AS what, count(*) AS n FROM quads WHERE g IN ({HELD}) UNION ALL SELECT 'added', count(*) FROM quads WHERE g NOT IN ({HELD}) UNION ALL SELECT 'clash', count(DISTINCT s) FROM quads WHERE g IN ({HELD})")
 def w1b(t: Tables) -> DataFrame:
     """Regions, customers and documents join a store of the other sources."""
     names = ("nation", "supplier", "part", "orders")
@@ -72,11 +67,29 @@ def w4(t: Tables) -> DataFrame:
     return parts[0].union(parts[1])
 
 
-@query("w5_delete_dataset", f"SELECT 'quads' AS t, count(*) AS n FROM quads WHERE g IN ('{DS}nation/', '{DS}part/') UNION ALL SELECT 'statements', count(*) FROM statements UNION ALL SELECT 'datasets', count(*) FROM datasets WHERE dataset <> '{DS}supplier/' UNION ALL SELECT 'access', count(*) FROM access WHERE dataset <> '{DS}supplier/'")
+@query("w5_delete_dataset", f"""
+SELECT 'quads' AS t, g || s || p || o AS what FROM quads WHERE g IN ('{DS}nation/', '{DS}part/')
+UNION ALL SELECT 'statements', stmt || rei_p FROM statements
+UNION ALL SELECT 'datasets', dataset FROM datasets WHERE dataset <> '{DS}supplier/'
+UNION ALL SELECT 'access', access_uri FROM access WHERE dataset <> '{DS}supplier/'
+UNION ALL SELECT 'docs', md5(g || s) FROM quads WHERE g = '{DS}nation/' AND p = '{TYPE}'
+UNION ALL SELECT 'doc_fields', md5(g || s) || p FROM quads WHERE g = '{DS}nation/' AND p = '{ONTO}region'
+UNION ALL SELECT 'revision_quads', rev_uri || p FROM revision_quads""")
 def w5(t: Tables) -> DataFrame:
-    out = writes.delete_dataset(store_of(t, "nation", "part", "supplier"), f"{DS}supplier/")
-    rows = [out[k].agg(F.lit(k).alias("t"), F.count("*").alias("n")) for k in ("quads", "statements", "datasets", "access")]
-    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+    docs, fields = build_index(t.quads("nation", "supplier"), t.statements.limit(0), t.properties, ontology.class_closure(t.class_edges), SUPPORTED)
+    store = store_of(t, "nation", "part", "supplier") | {"docs": docs, "doc_fields": fields}
+    out = writes.delete_dataset(store, f"{DS}supplier/")
+    keys = {"quads": ["g", "s", "p", "o"], "statements": ["stmt", "rei_p"], "datasets": ["dataset"], "access": ["access_uri"], "docs": ["uid"], "doc_fields": ["uid", "attr"], "revision_quads": ["rev_uri", "p"]}
+    rows = [out[name].select(F.lit(name).alias("t"), F.concat(*columns).alias("what")) for name, columns in keys.items()]
+    return reduce(DataFrame.union, rows)
+
+
+@query("w5_delete_user_dataset", f"""
+SELECT 'revisions' AS t, count(*) AS n FROM revisions WHERE false UNION ALL SELECT 'revision_quads', count(*) FROM revision_quads WHERE false
+UNION ALL SELECT 'quads', count(*) FROM quads WHERE g = '{DS}nation/'""")
+def w5b(t: Tables) -> DataFrame:
+    out = writes.delete_dataset(store_of(t, "nation"), f"{DS}user/")
+    return reduce(DataFrame.union, [out[k].agg(F.lit(k).alias("t"), F.count("*").alias("n")) for k in ("revisions", "revision_quads", "quads")])
 
 
 @query("w6_update_dataset", f"SELECT dataset, CASE WHEN k % 2 = 0 THEN title || ' (new)' ELSE title END AS title, CASE WHEN k % 3 = 0 THEN NULL ELSE description END AS description, CASE WHEN k % 2 = 0 THEN '{DS}nation/1' ELSE array_to_string(contributors, '|') END AS contributors FROM (SELECT *, CAST(string_split(contributors[1], '/')[-1] AS BIGINT) AS k FROM datasets) UNION ALL SELECT '{DS}extra/', 'extra', 'x', ''")
@@ -139,13 +152,7 @@ def v4(t: Tables) -> DataFrame:
     return revisions.publish_revisions(t.revisions, chosen(t)).select("rev_uri", "status")
 
 
-@query("v4_published_store", f"SELECT DISTINCT record_uri AS s, q.p, q.o FROM revision_quads q JOIN revisions r USING (rev_uri) WHERE rev_uri IN ({CHOSEN})")
-def v4b(t: Tables) -> DataFrame:
-    store = store_of(t, "region")
-    return revisions.published_store(store, chosen(t))["quads"].filter(F.col("g") == f"{DS}user/").select("s", "p", "o").distinct()
-
-
-@query("v4_published_latest_store", f"SELECT DISTINCT record_uri AS s, q.p, q.o FROM revision_quads q JOIN revisions r USING (rev_uri) WHERE rev_uri IN (SELECT rev_uri FROM ({LATEST}))")
+@query("v4_published_store", f"SELECT DISTINCT record_uri AS s, q.p, q.o FROM revision_quads q JOIN revisions r USING (rev_uri) WHERE rev_uri IN (SELECT rev_uri FROM ({LATEST}))")
 def v4c(t: Tables) -> DataFrame:
     """The latest revision of every record is published."""
     store = store_of(t, "region")
@@ -166,13 +173,7 @@ def v6(t: Tables) -> DataFrame:
     return revisions.list_revisions(t.revisions, record, "long")
 
 
-@query("v7_read_revision", f"SELECT record_uri AS s, p, o, 'record' AS mode FROM revision_quads JOIN revisions USING (rev_uri) WHERE rev_uri IN ({CHOSEN}) UNION ALL SELECT rev_uri, p, o, 'revision' FROM revision_quads WHERE rev_uri IN ({CHOSEN})")
-def v7(t: Tables) -> DataFrame:
-    parts = [revisions.read_revision(t.revision_quads, t.revisions, chosen(t), m).select("s", "p", "o", F.lit(m).alias("mode")) for m in ("record", "revision")]
-    return parts[0].union(parts[1])
-
-
-@query("v7_read_all_revisions", "SELECT record_uri AS s, p, o, 'record' AS mode FROM revision_quads JOIN revisions USING (rev_uri) UNION ALL SELECT rev_uri, p, o, 'revision' FROM revision_quads")
+@query("v7_read_revision", "SELECT record_uri AS s, p, o, 'record' AS mode FROM revision_quads JOIN revisions USING (rev_uri) UNION ALL SELECT rev_uri, p, o, 'revision' FROM revision_quads")
 def v7b(t: Tables) -> DataFrame:
     parts = [revisions.read_revision(t.revision_quads, t.revisions, t.revisions.select("rev_uri"), m).select("s", "p", "o", F.lit(m).alias("mode")) for m in ("record", "revision")]
     return parts[0].union(parts[1])
@@ -326,10 +327,8 @@ def o12(t: Tables) -> DataFrame:
 
 @query("o13_index_ontology", f"SELECT md5('{ONTO}' || c) AS uid, {NAME} AS label FROM ({CLASSES}) UNION ALL SELECT md5('{ONTO}' || c || '-of'), {NAME} || '-of' FROM ({CLASSES})")
 def o13(t: Tables) -> DataFrame:
-    from quadloom.operators.index import build_index
-
     quads = ontology_quads(t)
-    docs, _ = build_index(ontology.merged_kinds(quads.union(quads)), t.statements, t.properties, ontology.class_closure(t.class_edges), SUPPORTED)
+    docs, _ = ontology.index_ontology(quads.union(quads), t.statements, t.properties, t.class_edges, SUPPORTED)
     return docs.select("uid", F.col("pref_label").alias("label"))
 
 

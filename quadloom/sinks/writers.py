@@ -95,24 +95,30 @@ def _csv_cell(text: Column) -> Column:
 
 
 def sectioned_csv_lines(quads: DataFrame, prefixes: DataFrame, most_attributes: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(record rows, linkage rows), each (n, value) in order. Attributes are named prefix:name; their list is schema, not data:
-    it is collected for the header and refused above most_attributes."""
-    short = lambda c: F.concat_ws(":", F.coalesce(F.col("prefix"), F.lit("ns")), local_name(F.col(c)))
-    names = quads.filter(F.col("p") != TYPE).select("p").distinct().withColumn("uri", base_of(F.col("p"))).join(prefixes, "uri", "left").select("p", short("p").alias("attr"))
-    attrs = [r["attr"] for r in names.select("attr").distinct().orderBy("attr").limit(most_attributes + 1).collect()]
-    if len(attrs) > most_attributes:
+    """(record rows, linkage rows), each (value) with the header lines first. Attributes are named prefix:name; a base without
+    a prefix gets ns1, ns2, ... in the order of the bases. Their list is schema, not data: it is collected for the header and
+    refused above most_attributes. A subject that stands in several datasets has a row for each."""
+    spark = quads.sparkSession
+    known = quads.filter(F.col("p") != TYPE).select("p").distinct().withColumn("uri", base_of(F.col("p"))).join(prefixes, "uri", "left")
+    named = known.select("p", "uri", "prefix", local_name(F.col("p")).alias("name")).orderBy("uri", "p").limit(most_attributes + 1).collect()
+    if len(named) > most_attributes:
         raise ValueError(f"more than {most_attributes} attributes")
-    linked = quads.withColumn("uri", base_of(F.col("o"))).join(prefixes, "uri", "left").withColumn("cell", F.when(F.col("o_kind") == "literal", F.col("o")).otherwise(F.concat(F.lit("@@"), F.coalesce(F.concat("prefix", F.lit(":"), local_name(F.col("o"))), F.col("o")))))
+    made = {uri: f"ns{k}" for k, uri in enumerate(sorted({r.uri for r in named if r.prefix is None}), 1)}
+    attr_of = {r.p: f"{r.prefix or made[r.uri]}:{r['name']}" for r in named}
+    names = spark.createDataFrame(list(attr_of.items()), "p string, attr string")
+    attrs = sorted(set(attr_of.values()))
+    short = F.coalesce(F.concat("prefix", F.lit(":"), local_name(F.col("o"))), F.col("o"))
+    cell = F.when(F.col("o_kind") == "literal", F.col("o")).otherwise(F.concat(F.lit("@@"), short))
+    linked = quads.withColumn("uri", base_of(F.col("o"))).join(prefixes, "uri", "left").withColumn("cell", cell)
     cells = linked.drop("uri", "prefix").join(names, "p", "left").withColumn("attr", F.coalesce("attr", F.lit("type")))
-    lists = cells.groupBy("s", "attr").agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("pos", "cell"))), lambda x: x["cell"]), "||").alias("cell"))
-    wide = lists.groupBy("s").pivot("attr", ["type", *attrs]).agg(F.first("cell"))
+    in_order = F.transform(F.sort_array(F.collect_set(F.struct("pos", "cell"))), lambda x: x["cell"])
+    lists = cells.groupBy("g", "s", "attr").agg(F.array_join(in_order, "||").alias("cell"))
+    wide = lists.groupBy("g", "s").pivot("attr", ["type", *attrs]).agg(F.first("cell"))
     row = F.concat_ws(",", _csv_cell(F.col("s")), *[_csv_cell(F.col(f"`{a}`")) for a in ["type", *attrs]])
-    spark = quads.sparkSession
-    header = spark.createDataFrame([(0, "", "&&recordList"), (1, "", ",".join(["&id", "&type", *[f"&{a}" for a in attrs]]))], "n int, k string, value string")
-    records = header.union(wide.select(F.lit(2), "s", row)).orderBy("n", "k").select("value")
-    linkage = spark.createDataFrame([(0, "", "&&linkage"), (1, "", "&linkedType,application/rdf+xml"), (2, "", "&attributeList,&mapTo")], "n int, k string, value string")
-    linkage = linkage.union(names.select(F.lit(3), "attr", F.concat_ws(",", "attr", "p"))).orderBy("n", "k").select("value")
-    return records, linkage
+    header = ["&&recordList", ",".join(["&id", "&type", *[f"&{a}" for a in attrs]])]
+    records = spark.createDataFrame([(x,) for x in header], "value string").coalesce(1).union(wide.select(row))
+    lines = ["&&linkage", "&linkedType,application/rdf+xml", "&attributeList,&mapTo", *sorted(f"{a},{p}" for p, a in attr_of.items())]
+    return records, spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)
 
 
 def linked_json_lines(quads: DataFrame, linkage: DataFrame) -> DataFrame:

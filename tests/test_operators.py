@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadloom.functions import uris
-from quadloom.model import LABEL, LAT, LONG, QUADS, STATEMENTS, TYPE
+from quadloom.model import LABEL, LAT, LONG, QUADS, RDFS, STATEMENTS, TYPE
 from quadloom.operators import access, index, mapping, ontology, patterns, rank, records, revisions, search, tagging, writes
 from quadloom.plans.fixtures import DS, ONTO, Tables
 from quadloom.sinks import writers
@@ -215,3 +215,53 @@ def test_facets_sum_to_hits(spark):
     fields = index.with_uid(t.quads("part").filter(F.col("p") == f"{ONTO}brand")).select("uid", F.col("p").alias("attr"), F.col("o").alias("value"), F.lit(None).cast("string").alias("obj_uri"))
     assert rank.facet_values(fields, [f"{ONTO}brand"], -1).agg(F.sum("n")).first()[0] == t.raw("part").count()
     assert DS
+
+
+def test_dates_take_offsets_and_ignore_the_session_zone(spark):
+    rows = [("2020-05-01T10:00:00+02:00",), ("2020-05-01T10:00:00-0500",), ("2020-05-01T10:00:00Z",), ("2020-05-01 10:00:00",), ("1995-03-15",), ("x",)]
+    frame = spark.createDataFrame(rows, "d string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = [r[0] for r in frame.select(uris.iso(uris.safe_date(F.col("d")))).collect()]
+            assert got == ["2020-05-01T08:00:00Z", "2020-05-01T15:00:00Z", "2020-05-01T10:00:00Z", "2020-05-01T10:00:00Z", "1995-03-15T00:00:00Z", None], zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_sectioned_csv_numbers_unknown_bases_and_keeps_datasets_apart(spark):
+    rows = [("d1/", "s", "http://x.org/name", "A"), ("d1/", "s", "http://y.org/name", "B"), ("d2/", "s", "http://x.org/name", "C")]
+    quads = spark.createDataFrame([(*r, "literal", None, None, 0) for r in rows], QUADS)
+    records, linkage = writers.sectioned_csv_lines(quads, spark.createDataFrame([], "prefix string, uri string"))
+    got = [r.value for r in records.collect()]
+    assert got[:2] == ["&&recordList", "&id,&type,&ns1:name,&ns2:name"] and sorted(got[2:]) == ["s,,A,B", "s,,C,"]
+    assert [r.value for r in linkage.collect()][3:] == ["ns1:name,http://x.org/name", "ns2:name,http://y.org/name"]
+
+
+def test_one_cut_of_words_for_queries_and_texts(spark):
+    texts = spark.createDataFrame([("1", "the nation_1 here", "en", "a"), ("2", "nation one", "fr", "b")], "uid string, text string, lang string, field string")
+    assert [r.uid for r in search.filter_text(texts, "Nation_1").collect()] == ["1"]
+    assert [r.uid for r in search.filter_text(texts, "nation", lang="fr").collect()] == ["2"]
+    assert [r.uid for r in search.filter_text(texts, "nation", fields=["a"]).collect()] == ["1"]
+
+
+def test_expressions_refuse_closed_datasets(spark):
+    docs = spark.createDataFrame([("1", "a/"), ("2", "b/")], "uid string, dataset string")
+    open_ = spark.createDataFrame([("a/",)], "dataset string")
+    assert [r.uid for r in search.filter_expression(docs, search.Dataset("a/"), accessible=open_).collect()] == ["1"]
+    with pytest.raises(ValueError):
+        search.filter_expression(docs, search.Not(search.Dataset("b/")), accessible=open_)
+
+
+def test_suggestions_reach_the_first_letter(spark):
+    words = spark.createDataFrame([("house", 9), ("mouse", 4), ("hose", 1)], "term string, freq long")
+    got = {(r.term, r.suggestion, r.edits) for r in rank.suggest(spark.createDataFrame([("xouse",), ("house",), ("",)], "term string"), words).collect()}
+    assert got == {("xouse", "house", 1), ("xouse", "mouse", 1), ("xouse", "hose", 2)}
+
+
+def test_references_and_mapping_triples(spark):
+    rows = spark.createDataFrame([("@@x:a",), ("@b",), ("c",)], "value string")
+    assert [(r.o, r.o_kind) for r in mapping.resolve_references(rows, "ds/", {"x": "http://x.org/"}).collect()] == [("http://x.org/a", "uri"), ("ds/b", "uri"), ("c", "literal")]
+    linkage = spark.createDataFrame([("type", "http://x.org/T", "http://o.org/C"), ("attribute", "name", "http://o.org/p")], "kind string, name string, map_to string")
+    assert [tuple(r) for r in mapping.mapping_triples(linkage).collect()] == [("http://x.org/T", f"{RDFS}subClassOf", "http://o.org/C")]
