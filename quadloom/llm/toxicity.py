@@ -2,8 +2,8 @@
 
 1. A character trigram model is counted over every document of the corpus (27 symbols: a boundary and 26 letters; accents
    are folded), one small count table per task, summed in Spark.
-2. Suspicious stretches - digits or signs inside words, letters drawn out, single letters with gaps - become lattices: each
-   position offers the letters it may stand for, at a channel cost, and a gap may close. Viterbi decoding under the trigram
+2. Suspicious stretches - digits or signs in words, letters drawn out, three or more single letters with gaps, each of any
+   length - become lattices: each position offers the letters it may stand for, at a channel cost, and a gap may close. Viterbi decoding under the trigram
    model picks the likeliest reading. Everything else is left as it is, so plain text costs one pattern search.
 3. Words of the restored text, and their beginnings, are scored by a lexicon learnt from labelled documents: the share of
    toxic documents among those that hold the feature, shrunk towards the base rate. The score is the noisy-or of a text's
@@ -33,13 +33,19 @@ SYMBOLS = 27
 #: What each sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "aeiou"}
 _SIGNS = re.escape("".join(LEET))
-_LEET_WORD = re.compile(rf"(?<![\w{_SIGNS}])(?=[\w{_SIGNS}]*[a-z])(?=[\w{_SIGNS}]*[{_SIGNS}][\w{_SIGNS}]*[a-z]|[a-z]*[0-9])[a-z{_SIGNS}]{{3,40}}(?![\w])")
+#: A maximal run of word characters and signs that holds a sign; possessive, so that runs of any length take linear time.
+_SIGNED = re.compile(rf"(?<![\w{_SIGNS}])[^\W01345789]*+[{_SIGNS}][\w{_SIGNS}]*+")
+#: Signs that end a word as punctuation; they are cut off before a word is decoded.
+_ENDING = "!(#|"
 _DRAWN = re.compile(r"(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1{2,}[^\W\d_]*")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_GAPS = re.compile(rf"(?<![\w{_SIGNS}])[a-z{_SIGNS}](?:[ .\-_*]{{1,2}}[a-z{_SIGNS}]){{3,30}}(?![\w{_SIGNS}])")
+_UNIT = rf"[^\W\d_]|[{_SIGNS}]"
+_AFTER = rf"[^\W_]|[{_SIGNS.replace(re.escape('*'), '')}]"
+#: Three or more single letters or signs with gaps between them, as many as there are.
+_GAPS = re.compile(rf"(?<![\w{_SIGNS}])(?:{_UNIT})(?:[ .\-_*]{{1,2}}(?:{_UNIT})(?!{_AFTER})){{2,}}+")
 _WORD = re.compile(r"[^\W\d_]+")
-_SUSPECT = re.compile(rf"[{_SIGNS}][a-z]|[a-z][0-9]|([^\W\d_])\1\1|(?<!\w)[a-z{_SIGNS}][ .\-_*]{{1,2}}[a-z{_SIGNS}][ .\-_*]")
-CHANNEL = {"same": 0.0, "stands_for": -0.5, "kept_sign": -4.0, "closed_gap": -0.5, "kept_gap": -1.0, "shortened": -0.3}
+_SUSPECT = re.compile(rf"[{_SIGNS}][^\W\d_]|[^\W\d_][0-9@$+*]|([^\W\d_])\1\1|(?<!\w)(?:{_UNIT})[ .\-_*]{{1,2}}(?:{_UNIT})[ .\-_*]")
+CHANNEL = {"same": 0.0, "stands_for": -0.5, "kept_sign": -4.0, "kept_star": -1.0, "closed_gap": -0.5, "kept_gap": -1.0, "shortened": -0.3}
 BASELINE = 0.02
 
 
@@ -55,11 +61,12 @@ _CODES = _code_table()
 
 
 def _kind_table() -> np.ndarray:
-    """Bits of each Latin-1 character: 1 small letter a-z, 2 any letter, 4 digit, 8 sign, 16 letter or sign other than *."""
+    """Bits of each Latin-1 character: 1 small letter, 2 any letter, 4 digit or sign that no punctuation is, 8 sign, 16 letter or
+    sign other than *."""
     table = np.zeros(256, np.uint8)
     for b in range(256):
         c = bytes([b]).decode("latin-1")
-        table[b] = ("a" <= c <= "z") + 2 * c.isalpha() + 4 * ("0" <= c <= "9") + 8 * (c in LEET) + 16 * (c.isalpha() or c in LEET and c != "*")
+        table[b] = (c.isalpha() and c == c.lower()) + 2 * c.isalpha() + 4 * (c in "0123456789@$+") + 8 * (c in LEET) + 16 * (c.isalpha() or c in LEET and c != "*")
     return table
 
 
@@ -67,7 +74,7 @@ _KINDS = _kind_table()
 
 
 def may_be_disguised(text: str) -> bool:
-    """A fast test of a lower-case text that no suspicious stretch fails: signs before letters, digits behind them, a letter
+    """A fast test of a lower-case text that no suspicious stretch fails: signs before letters, digits or @$+* behind them, a letter
     three times, or single letters with gaps. Characters outside Latin-1 count as letters."""
     if not text.isascii() and "?" in text:
         return _SUSPECT.search(text) is not None
@@ -131,7 +138,8 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
             out.append([("", CHANNEL["closed_gap"]), (" ", CHANNEL["kept_gap"])])
             k += run
         elif c in LEET:
-            out.append([(x, CHANNEL["stands_for"]) for x in LEET[c]] + [(c, CHANNEL["kept_sign"])])
+            kept = CHANNEL["kept_star" if c == "*" and k == len(stretch) - 1 else "kept_sign"]
+            out.append([(x, CHANNEL["stands_for"]) for x in LEET[c]] + [(c, kept)])
             k += 1
         elif run >= 3:
             out.append([(c, CHANNEL["shortened"]), (c * 2, CHANNEL["shortened"])])
@@ -158,9 +166,9 @@ class Restorer:
         if known is None:
             if len(self.known) >= self.most:
                 self.known.clear()
-            states = {(0, 0): (0.0, "")}
+            states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
             for choices in [*lattice(stretch), [(" ", 0.0)]]:
-                following: dict[tuple[int, int], tuple[float, str]] = {}
+                following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
                 for (a, b), (score, path) in states.items():
                     for text, cost in choices:
                         x, y, total = a, b, score + cost
@@ -171,18 +179,33 @@ class Restorer:
                                 x, y = y, z
                         best = following.get((x, y))
                         if best is None or total > best[0]:
-                            following[(x, y)] = (total, path + text)
+                            following[(x, y)] = (total, (text, path))
                 states = following
-            known = self.known[stretch] = max(states.values())[1].strip()
+            path, read = max(states.values(), key=lambda state: state[0])[1], []
+            while path is not None:
+                read.append(path[0])
+                path = path[1]
+            known = "".join(reversed(read)).strip()
+            if len(stretch) <= 100:  # longer ones are rare and would fill the table
+                self.known[stretch] = known
         return known
 
+    def _signed(self, found: re.Match) -> str:
+        core = found[0].rstrip(_ENDING)
+        plain = [c for c in core if c not in LEET]
+        if len(core) < 3 or len(plain) == len(core) or not plain or not "".join(plain).isalpha():
+            return found[0]
+        return self.decode(core) + found[0][len(core) :]
+
+    def _gaps(self, found: re.Match) -> str:
+        return self.decode(found[0]) if sum(c.isalpha() for c in found[0]) >= 2 else found[0]
+
     def restore(self, text: str) -> str:
         """The text in lower case with its suspicious stretches decoded."""
         text = text.lower()
         if not may_be_disguised(text):
             return text
-        for pattern in (_GAPS, _LEET_WORD):
-            text = pattern.sub(lambda m: self.decode(m[0]), text)
+        text = _SIGNED.sub(self._signed, _GAPS.sub(self._gaps, text))
         return _DRAWN.sub(lambda m: self.decode(m[0]), text) if _TRIPLE.search(text) else text
 
 
@@ -195,30 +218,31 @@ def _all_features(text: str, restorer: Restorer) -> set[str]:
     return {f for w in words_in(restorer.restore(text)) for f in features(w)}
 
 
-def _count_features(shared, wanted_toxic: int, only):
+def _count_features(shared, most: int = 200_000):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, counts, keep = Restorer(shared.value), Counter(), None if only is None else only.value
+        restorer, counts = Restorer(shared.value), (Counter(), Counter())
 
-        def table() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
+        def tables() -> Iterator[pa.RecordBatch]:
+            for toxic, held in enumerate(counts):
+                n, none = pa.array(list(held.values()), pa.int64()), pa.array(np.zeros(len(held), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), n if toxic else none, none if toxic else n], names=["feature", "hits", "misses"])
+                held.clear()
 
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                if text and toxic == wanted_toxic:
-                    found = _all_features(text, restorer)
-                    counts.update(found if keep is None else found & keep)
-            if len(counts) > 500_000:
-                yield table()
-                counts.clear()
-        yield table()
+                if text and toxic in (0, 1):
+                    counts[toxic].update(_all_features(text, restorer))
+                if len(counts[0]) + len(counts[1]) > most:
+                    yield from tables()
+        yield from tables()
 
     return count
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, model, max_training: int, max_features: int, min_toxic: int = 4, shrink: float = 2.0, min_share: float = 0.8) -> dict[str, float]:
-    """Feature -> share of toxic documents among its documents, from labelled rows that are not held out. A word's beginning
-    stays only if it holds without the documents that a stronger, longer feature explains."""
-    spark = docs.sparkSession
+def learn_lexicon(docs: DataFrame, labels: DataFrame, model, max_training: int, min_toxic: int = 4, shrink: float = 2.0, min_share: float = 0.8) -> dict[str, float]:
+    """Feature -> share of toxic documents among its documents, from labelled rows that are not held out. Only features that
+    reach min_share come to the driver; a word's beginning stays only if it holds without the documents that a stronger,
+    longer feature explains."""
     known = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training)
@@ -229,15 +253,15 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, model, max_training: int,
         return {}
     base = toxic / (toxic + clean)
     least = max(min_toxic, math.ceil(0.001 * toxic))
-    rows = sample.mapInArrow(_count_features(model, 1, None), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    hits = {r["feature"]: r["n"] for r in rows.orderBy(F.desc("n"), "feature").limit(20 * max_features).collect()}
-    only = spark.sparkContext.broadcast(set(hits))
-    rows = sample.mapInArrow(_count_features(model, 0, only), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    misses = {r["feature"]: r["n"] for r in rows.collect()}
-    return strongest(hits, misses, base, max_features, shrink, min_share)
+    rows = sample.mapInArrow(_count_features(model), "feature string, hits long, misses long").groupBy("feature").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
+    share = (F.col("hits") + shrink * base) / (F.col("hits") + F.col("misses") + shrink)
+    found = rows.filter((F.col("hits") >= least) & (share >= min_share)).orderBy(F.desc("hits"), "feature").collect()
+    return strongest({r["feature"]: r["hits"] for r in found}, {r["feature"]: r["misses"] for r in found}, base, shrink, min_share)
+
 
+def strongest(hits: dict[str, int], misses: dict[str, int], base: float, shrink: float, min_share: float) -> dict[str, float]:
+    """The features that hold alone; no longer feature below min_share can explain one that reaches it."""
 
-def strongest(hits: dict[str, int], misses: dict[str, int], base: float, max_features: int, shrink: float, min_share: float) -> dict[str, float]:
     def shrunk(toxic: int, clean: int) -> float:
         return (toxic + shrink * base) / (toxic + clean + shrink)
 
@@ -253,8 +277,7 @@ def strongest(hits: dict[str, int], misses: dict[str, int], base: float, max_fea
         alone = share[f] if c is None else shrunk(max(0, hits[f] - hits[c]), max(0, misses.get(f, 0) - misses.get(c, 0)))
         if min(share[f], alone) >= min_share:
             kept.append(f)
-    kept.sort(key=lambda f: (-share[f] * math.log1p(hits[f]), f))
-    return {f: share[f] for f in kept[:max_features]}
+    return {f: share[f] for f in kept}
 
 
 def score_text(text: str | None, restorer: Restorer, lexicon: dict[str, float], starts: set[str]) -> float:
@@ -281,11 +304,11 @@ def _score(shared, lexicon):
     return score
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_training: int = 50_000, max_features: int = 5_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_training: int = 50_000) -> DataFrame:
     """One row per row of docs (doc_id, text): held_out, score and predicted; labels has doc_id and toxic."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(character_model(docs))
-    lexicon = docs.sparkSession.sparkContext.broadcast(learn_lexicon(docs, labels, model, max_training, max_features))
+    lexicon = docs.sparkSession.sparkContext.broadcast(learn_lexicon(docs, labels, model, max_training))
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
     out = docs.withColumn("held_out", held_out).mapInArrow(_score(model, lexicon), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
