@@ -3,8 +3,9 @@
 1. A character trigram model is counted over every document of the corpus (27 symbols: a boundary and 26 letters; accents
    are folded), one small count table per task, summed in Spark.
 2. Suspicious stretches - digits or signs in words, letters drawn out, three or more single letters with gaps, each of any
-   length - become lattices: each position offers the letters it may stand for, at a channel cost, and a gap may close. Viterbi decoding under the trigram
-   model picks the likeliest reading. Everything else is left as it is, so plain text costs one pattern search.
+   length - become lattices: each position offers the letters it may stand for, at a channel cost, and a gap may close. Viterbi
+   decoding under the trigram model picks the likeliest reading. Everything else is left as it is, so plain text costs one
+   pattern search.
 3. Words of the restored text, and their beginnings, are scored by a lexicon learnt from labelled documents: the share of
    toxic documents among those that hold the feature, shrunk towards the base rate. The score is the noisy-or of a text's
    three strongest words; a text without any gets a small constant.
