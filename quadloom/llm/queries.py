@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.llm import oracles
+from quadloom.llm.alignment import scored_alignment
 from quadloom.llm.chat import format_chats, loss_text
 from quadloom.llm.decontaminate import contaminated_pairs
+from quadloom.llm.golay import fingerprint_classes
 from quadloom.llm.mixing import mix_sources
 from quadloom.llm.ngram_join import near_duplicate_classes
 from quadloom.llm.pii import find_personal_data
 from quadloom.llm.quality import judge_quality
 from quadloom.llm.sharding import assign_shards
+from quadloom.llm.spelling import group_spellings
 from quadloom.llm.substring_dedup import remove_repeated_spans
 from quadloom.llm.tokens import prefix_token_counts
 from quadloom.llm.toxicity import score_toxicity
@@ -86,9 +89,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_classes(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    out = scored_alignment(table(spark, sf_dir, "documents"), *files)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_mixing, op3_substring_dedup, op4_personal_data, op5_toxicity, op6_sharding, op7_quality, op8_ngram_join, op9_chat, op10_token_counts)
+    for f in (op1_decontamination, op2_mixing, op3_substring_dedup, op4_personal_data, op5_toxicity, op6_sharding, op7_quality, op8_ngram_join, op9_chat, op10_token_counts, op11_spelling, op12_simhash, op13_alignment)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_mixing": oracles.MIXING, "op3_substring_dedup": oracles.DEDUP, "op7_quality": oracles.QUALITY, "op8_ngram_join": oracles.NGRAM_JOIN, "op9_chat": oracles.CHAT}
