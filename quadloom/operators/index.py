@@ -32,7 +32,7 @@ def index_labels(quads: DataFrame, supported: list[str], labels: tuple[str, ...]
     A record without any label gets its local name in the default language."""
     rows = with_uid(quads).withColumns({"lang": route_language(F.col("o_lang"), supported), "rank": F.array_position(F.array(*map(F.lit, labels)), F.col("p"))})
     found = rows.filter("rank > 0").groupBy("uid", "lang").agg(F.sort_array(F.collect_list(F.struct("rank", "pos", "o"))).alias("l"))
-    found = found.select("uid", "lang", F.get("l", F.lit(0))["o"].alias("pref_label"), F.transform(F.slice("l", 2, 1 << 20), lambda x: x["o"]).alias("alt_labels"))
+    found = found.select("uid", "lang", F.get("l", F.lit(0))["o"].alias("pref_label"), F.transform(F.slice("l", F.lit(2), F.size("l")), lambda x: x["o"]).alias("alt_labels"))
     bare = rows.groupBy("uid").agg(F.first("s").alias("s"), F.max("rank").alias("rank")).filter("rank = 0")
     bare = bare.select("uid", F.lit(supported[0]).alias("lang"), local_name(F.col("s")).alias("pref_label"), F.array().cast("array<string>").alias("alt_labels"))
     return found.unionByName(bare)
@@ -127,10 +127,10 @@ def field_in_use(catalog: DataFrame, name: str) -> bool:
     return not catalog.filter(F.col("attr") == name).isEmpty()
 
 
-def build_index(quads: DataFrame, statements: DataFrame, properties: DataFrame, class_closure: DataFrame, supported: list[str], published: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def build_index(quads: DataFrame, statements: DataFrame, properties: DataFrame, class_closure: DataFrame, supported: list[str], published: DataFrame | None = None, label_quads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(docs, doc_fields). docs has uid, dataset, uri, types, inferred_types, pref_label (default language first), labels (by
     language), alt_labels, description, located_in, pref_url (its first) and points. With `published` (g, s), only those records are
-    indexed (a rebuild from the stored quads)."""
+    indexed (a rebuild from the stored quads). Labels of linked records come from label_quads, by default the same quads."""
     records = classify_subjects(quads).filter("class = 'record'").select("g", "s")
     if published is not None:
         records = records.join(published.select("g", "s").distinct(), ["g", "s"], "left_semi")
@@ -151,7 +151,7 @@ def build_index(quads: DataFrame, statements: DataFrame, properties: DataFrame,
     for part in (own, inferred, names, said, points):
         docs = docs.join(part, "uid", "left")
     literals = single_valued(index_literals(mine, properties, supported))
-    objects = index_object_labels(mine, quads)
+    objects = index_object_labels(mine, quads if label_quads is None else label_quads)
     blank = {c: F.lit(None).cast(t) for c, t in (("lang", "string"), ("date", "timestamp"), ("int", "long"), ("float", "double"), ("pos", "long"))}
     as_fields = objects.select("uid", "attr", F.lit("object").alias("kind"), F.col("obj_label").alias("value"), "obj_uri", F.lit(False).alias("single_valued")).withColumns(blank)
     meta = index_reified(mine, statements).select("uid", F.concat_ws("&", "about_attr", "meta_attr").alias("attr"), F.lit("reify").alias("kind"), "value", F.col("about_value").alias("obj_uri"), F.lit(False).alias("single_valued")).withColumns(blank)

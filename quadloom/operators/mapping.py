@@ -113,7 +113,7 @@ def quads_to_records(quads: DataFrame, statements: DataFrame | None = None, labe
         F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("kind") == "attribute", F.struct("p", "v"))))).alias("attributes"),
     )
     labelled = F.coalesce(F.get("l", F.lit(0))["o"], local_name(F.col("s")))
-    return out.select("g", "s", "types", labelled.alias("pref_label"), F.transform(F.slice("l", 2, 1 << 20), lambda x: x["o"]).alias("alt_labels"), "description", "attributes")
+    return out.select("g", "s", "types", labelled.alias("pref_label"), F.transform(F.slice("l", F.lit(2), F.size("l")), lambda x: x["o"]).alias("alt_labels"), "description", "attributes")
 
 
 def records_to_quads(records: DataFrame) -> DataFrame:

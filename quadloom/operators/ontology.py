@@ -6,13 +6,13 @@ lost executor never replays the loop. Hierarchies are schema: they stay small wh
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions.uris import local_name
 from quadloom.model import DESCRIPTIONS, LABELS, OWL, RDFS, THING, TYPE
+from quadloom.operators.components import equivalence_classes
+from quadloom.operators.lineage import cut
 from quadloom.operators.mapping import description, pref_label
 from quadloom.operators.writes import _without, update_records
 
@@ -21,20 +21,6 @@ DOMAIN, RANGE, EQUIVALENT, DISJOINT = f"{RDFS}domain", f"{RDFS}range", f"{OWL}eq
 KINDS = {"class": f"{OWL}Class", "datatype": f"{RDFS}Datatype", "data_property": f"{OWL}DatatypeProperty", "object_property": f"{OWL}ObjectProperty", "annotation_property": f"{OWL}AnnotationProperty", "individual": f"{OWL}NamedIndividual", "ontology": f"{OWL}Ontology"}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder named in spark.checkpoint.dir. Only a local master may go without: it gets a temporary
-    folder."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="quadloom-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def transitive(edges: DataFrame, max_rounds: int = 32) -> DataFrame:
     """All (sub, super) pairs reachable over edges, by doubling; cycles and repeats end like anything else."""
     pairs = cut(edges.select("sub", "super").filter("sub IS NOT NULL AND super IS NOT NULL").distinct())
@@ -108,11 +94,16 @@ def in_range_of(ontology: DataFrame, closure: DataFrame, uri: str) -> DataFrame:
     return _properties_with(ontology, closure, RANGE, uri)
 
 
+def equivalence(ontology: DataFrame, predicate: str = EQUIVALENT) -> DataFrame:
+    """(uri, class): every URI with an equivalent, and the smallest of its class. In memory of the edges, not of all pairs."""
+    return equivalence_classes(edges_of(ontology, predicate).select(F.col("sub").alias("a"), F.col("super").alias("b"))).toDF("uri", "class")
+
+
 def equivalents(ontology: DataFrame, uri: str, predicate: str = EQUIVALENT) -> DataFrame:
     """(uri): everything equivalent, over any number of steps."""
-    edges = edges_of(ontology, predicate)
-    both = transitive(edges.union(edges.select(F.col("super").alias("sub"), F.col("sub").alias("super"))))
-    return both.filter((F.col("sub") == uri) & (F.col("super") != uri)).select(F.col("super").alias("uri"))
+    classes = equivalence(ontology, predicate)
+    mine = classes.filter(F.col("uri") == uri).select("class")
+    return classes.join(mine, "class", "left_semi").filter(F.col("uri") != uri).select("uri")
 
 
 def disjoints(ontology: DataFrame, uri: str, predicate: str = DISJOINT) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions.uris import tokens
-from quadloom.operators.ontology import cut
+from quadloom.operators.lineage import cut
 
 #: The endings that stem() knows, longest first.
 ENDINGS = (

@@ -1,6 +1,5 @@
-"""Writes as pure functions of old tables and changes; the caller writes the new version to a new path.
-
-Full replacement is an anti join and a union on the subject, so a store bucketed by s is not shuffled again.
+"""Writes as pure functions of old tables and changes; the caller writes the new version to a new path. The same changes on a
+stored table, in place of whole tables, are quadloom/sources/versioned.py, and with its index quadloom/operators/maintain.py.
 """
 
 from __future__ import annotations

@@ -56,7 +56,7 @@ def _attribute_lists(quads: DataFrame, statements: DataFrame | None) -> DataFram
     entry = F.struct("p", "pos", "o", "o_kind", "o_type", "o_lang", "reify")
     out = rows.groupBy("g", "s").agg(
         F.sort_array(F.collect_set(F.when(F.col("p") == TYPE, F.struct("pos", "o")))).alias("t"), F.sort_array(F.collect_set(F.when(F.col("p") != TYPE, entry))).alias("attrs"))
-    return out.select("g", "s", F.get("t", F.lit(0))["o"].alias("type"), F.transform(F.slice("t", 2, 1 << 20), lambda x: x["o"]).alias("more_types"), "attrs")
+    return out.select("g", "s", F.get("t", F.lit(0))["o"].alias("type"), F.transform(F.slice("t", F.lit(2), F.size("t")), lambda x: x["o"]).alias("more_types"), "attrs")
 
 
 def record_xml_lines(quads: DataFrame, statements: DataFrame | None = None) -> DataFrame:
