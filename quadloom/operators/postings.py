@@ -50,7 +50,8 @@ def build_postings(texts: DataFrame, path: str, pieces: int = 64, block_docs: in
     maxima.repartition("piece", "block").sortWithinPartitions("piece", "term").write.partitionBy("piece").parquet(f"{path}/maxima")
     terms = spark.read.schema(maxima.schema).parquet(f"{path}/maxima").groupBy("piece", "field", "term").agg(F.sum("df").alias("df"))
     terms.repartition("piece").sortWithinPartitions("piece", "term").write.partitionBy("piece").parquet(f"{path}/terms")
-    return Postings(spark, path, pieces)
+    spark.createDataFrame([(pieces, dict(texts.dtypes)["uid"])], "pieces int, uid string").coalesce(1).write.parquet(f"{path}/layout")
+    return Postings(spark, path)
 
 
 def piece_of(term: Column, pieces: int) -> Column:
@@ -66,11 +67,11 @@ _SCHEMAS = {
 
 
 class Postings:
-    """An index written by build_postings, in `pieces` pieces; uid is the type of its uids."""
+    """An index written by build_postings."""
 
-    def __init__(self, spark: SparkSession, path: str, pieces: int, uid: str | None = None):
-        self.spark, self.path, self.pieces = spark, path, pieces
-        self.uid = uid or dict(spark.read.parquet(f"{path}/postings").dtypes).get("uid", "string")
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.pieces, self.uid = spark.read.parquet(f"{path}/layout").first()
 
     def _of(self, table: str, wanted: list[str], fields: list[str] | None = None) -> DataFrame:
         """Rows of the words, from their pieces alone."""
