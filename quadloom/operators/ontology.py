@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions.uris import local_name
-from quadloom.model import DESCRIPTIONS, LABELS, OWL, RDFS, THING, TYPE
+from quadloom.model import DESCRIPTIONS, LABELS, OWL, RDF, RDFS, THING, TYPE
 from quadloom.operators.components import equivalence_classes
 from quadloom.operators.lineage import cut
 from quadloom.operators.mapping import description, pref_label
@@ -133,13 +133,96 @@ def named_individuals(types: DataFrame, closure: DataFrame, uri: str | None, dir
     return own.distinct().withColumnRenamed("s", "uri")
 
 
+def blank_closure(ontology: DataFrame, start: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(root, node): the blank nodes that each root (start: root, node) reaches through blank nodes, its own included. The
+    frontier of each round is written, so a description of any depth takes as many rounds as it is deep; cycles end."""
+    steps = ontology.filter(F.col("s").startswith("_:") & F.col("o").startswith("_:")).select(F.col("s").alias("node"), F.col("o").alias("next")).distinct()
+    found = frontier = cut(start.select("root", "node").distinct())
+    for _ in range(max_rounds):
+        further = frontier.join(steps, "node").select("root", F.col("next").alias("node")).distinct()
+        frontier = cut(further.join(found, ["root", "node"], "left_anti"))
+        if frontier.isEmpty():
+            return found
+        found = found.union(frontier)
+    raise RuntimeError(f"blank nodes nest deeper than {max_rounds}")
+
+
+def rdf_lists(ontology: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(head, pos, member): the members of every list (first / rest chains) in order, from 0. Each cell learns its head by
+    doubling the way back to it, so a list of n cells takes about log n rounds. Cells of a cycle have no head and are left out."""
+    cells = ontology.filter(F.col("p") == f"{RDF}first").groupBy(F.col("s").alias("cell")).agg(F.min("o").alias("member"))
+    back = ontology.filter((F.col("p") == f"{RDF}rest") & (F.col("o") != f"{RDF}nil")).groupBy(F.col("o").alias("cell")).agg(F.min("s").alias("before"))
+    now = cells.select("cell", "member").join(back, "cell", "left")
+    now = cut(now.select("cell", "member", F.coalesce("before", "cell").alias("at"), F.when(F.col("before").isNull(), 0).otherwise(1).alias("pos"), F.col("before").isNull().alias("done")))
+    for _ in range(max_rounds):
+        if now.filter(~F.col("done")).isEmpty():
+            break
+        ahead = now.select(F.col("cell").alias("at"), F.col("at").alias("_at"), F.col("pos").alias("_pos"), F.col("done").alias("_done"))
+        now = cut(now.join(ahead, "at", "left").select("cell", "member", F.coalesce("_at", "at").alias("at"), (F.col("pos") + F.coalesce("_pos", F.lit(0))).alias("pos"), F.coalesce("_done", F.lit(True)).alias("done")))
+    return now.filter("done").select(F.col("at").alias("head"), "pos", "member")
+
+
 def describe_entity(ontology: DataFrame, uri: str) -> DataFrame:
-    """(p, o, o_kind, restriction): the entity's quads, with the quads of blank nodes that it points at, keyed by that node."""
+    """(p, o, o_kind, restriction, pos): the entity's quads, with the quads of all blank nodes that it reaches through blank nodes, keyed
+    by that node. A list is its members in order: one row for each, by the list's head, with `first` as p and its place as pos."""
     own = ontology.filter(F.col("s") == uri)
-    nodes = own.filter(F.col("o").startswith("_:")).select(F.col("o").alias("s")).distinct()
-    none = F.lit(None).cast("string")
-    inner = ontology.join(nodes, "s", "left_semi").select("p", "o", "o_kind", F.col("s").alias("restriction"))
-    return own.select("p", "o", "o_kind", none.alias("restriction")).union(inner)
+    start = own.filter(F.col("o").startswith("_:")).select(F.lit(uri).alias("root"), F.col("o").alias("node"))
+    inner = ontology.join(blank_closure(ontology, start).select(F.col("node").alias("s")), "s", "left_semi")
+    none = F.lit(None)
+    cells = F.col("p").isin(f"{RDF}first", f"{RDF}rest")
+    kinds = inner.filter(F.col("p") == f"{RDF}first").groupBy(F.col("o").alias("member")).agg(F.min("o_kind").alias("o_kind"))
+    listed = rdf_lists(inner.filter(cells)).join(kinds, "member")
+    rows = own.select("p", "o", "o_kind", none.cast("string").alias("restriction"), none.cast("int").alias("pos"))
+    rows = rows.union(inner.filter(~cells).select("p", "o", "o_kind", "s", none.cast("int")))
+    return rows.union(listed.select(F.lit(f"{RDF}first"), "member", "o_kind", "head", F.col("pos").cast("int")))
+
+
+#: The predicates of restrictions that bound how many values a property has.
+AT_MOST = (f"{OWL}maxCardinality", f"{OWL}cardinality", f"{OWL}maxQualifiedCardinality", f"{OWL}qualifiedCardinality")
+AT_LEAST = (f"{OWL}minCardinality", f"{OWL}cardinality", f"{OWL}minQualifiedCardinality", f"{OWL}qualifiedCardinality")
+VALUES = (f"{OWL}allValuesFrom", f"{OWL}someValuesFrom", f"{OWL}onClass", f"{OWL}onDataRange")
+
+
+def restrictions(ontology: DataFrame) -> DataFrame:
+    """(class, property, min_card, max_card, value): what the classes say about properties, by restrictions they are under. One row for
+    each value class; a union of classes is one row for each member."""
+    bound = lambda names: F.when(F.col("p").isin(*names), F.col("o").try_cast("int"))
+    about = ontology.groupBy(F.col("s").alias("node")).agg(
+        F.max(F.when(F.col("p") == f"{OWL}onProperty", F.col("o"))).alias("property"), F.max(bound(AT_LEAST)).alias("min_card"), F.min(bound(AT_MOST)).alias("max_card"),
+        F.collect_set(F.when(F.col("p").isin(*VALUES), F.col("o"))).alias("values"),
+    ).filter("property IS NOT NULL")
+    classes = ontology.filter(F.col("p").isin(SUB_CLASS, EQUIVALENT)).select(F.col("s").alias("class"), F.col("o").alias("node")).distinct()
+    rows = classes.join(about, "node").select("class", "property", "min_card", "max_card", F.explode_outer("values").alias("value"))
+    return flattened(rows, unions(ontology), "value").distinct()
+
+
+def unions(ontology: DataFrame) -> DataFrame:
+    """(node, member): the classes of unions, given as lists."""
+    heads = ontology.filter(F.col("p") == f"{OWL}unionOf").select(F.col("s").alias("node"), F.col("o").alias("head")).distinct()
+    return heads.join(rdf_lists(ontology), "head").select("node", "member")
+
+
+def flattened(rows: DataFrame, unions: DataFrame, column: str, max_rounds: int = 16) -> DataFrame:
+    """rows with unions in `column` replaced by their members, unions in unions too."""
+    for _ in range(max_rounds):
+        if rows.join(unions.select(F.col("node").alias(column)), column, "left_semi").isEmpty():
+            return rows
+        members = unions.select(F.col("node").alias(column), F.col("member").alias("_m"))
+        rows = cut(rows.join(members, column, "left").withColumn(column, F.coalesce("_m", column)).drop("_m").select(*rows.columns))
+    raise RuntimeError("unions nest too deep, or in a cycle")
+
+
+def properties_of(ontology: DataFrame) -> DataFrame:
+    """(uri, range, max_card) for property_metadata and build_index, from the ontology's quads alone: ranges by `range` and by the values
+    of restrictions, unions flattened; one value at most for functional properties and by the narrowest restriction."""
+    said = restrictions(ontology)
+    kinds = [KINDS[k] for k in ("data_property", "object_property", "annotation_property")]
+    functional = F.max((F.col("o") == f"{OWL}FunctionalProperty").cast("int")) == 1
+    named = ontology.filter((F.col("p") == TYPE) & F.col("o").isin(*kinds, f"{OWL}FunctionalProperty")).groupBy(F.col("s").alias("uri")).agg(F.when(functional, 1).alias("own"))
+    narrow = said.groupBy(F.col("property").alias("uri")).agg(F.min("max_card").alias("said"))
+    ranges = flattened(ontology.filter(F.col("p") == RANGE).select(F.col("s").alias("uri"), F.col("o").alias("range")), unions(ontology), "range")
+    ranges = ranges.union(said.filter("value IS NOT NULL").select("property", "value")).distinct()
+    return named.join(narrow, "uri", "left").join(ranges, "uri", "left").select("uri", "range", F.least("own", "said").alias("max_card"))
 
 
 def upsert_entities(ontology: DataFrame, incoming: DataFrame) -> DataFrame:

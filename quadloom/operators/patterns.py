@@ -1,10 +1,11 @@
-"""Conjunctive graph patterns over quads as self-joins on shared variables; Catalyst orders the joins."""
+"""Conjunctive graph patterns over quads. Patterns about one subject are one pass over its values; only different subjects are
+joined, on the variables that they share."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.operators.access import accessible_datasets
@@ -27,16 +28,55 @@ def _one(quads: DataFrame, pattern: Pattern, per_graph: bool) -> DataFrame:
     return rows.select(*columns).distinct()
 
 
+def _star(quads: DataFrame, patterns: list[Pattern], per_graph: bool) -> DataFrame:
+    """Bindings of patterns about one subject variable with constant predicates: one conditional sum by subject. Several values of
+    a record are combined within its row, so the wanted values of one record must fit a row."""
+    subject = patterns[0][0][1:]
+    wanted: list[tuple[str, Column]] = []
+    for _, p, o in patterns:
+        here = F.col("p") == p
+        if o == f"?{subject}":
+            here &= F.col("o") == F.col("s")
+        elif not o.startswith("?"):
+            here &= F.col("o") == o
+        wanted.append((o, here))
+    rows = quads.filter(F.col("p").isin([p for _, p, _ in patterns])).filter(reduce(Column.__or__, [here for _, here in wanted]))
+    sets = [F.collect_set(F.when(here, F.col("o"))).alias(f"_{k}") for k, (_, here) in enumerate(wanted)]
+    held = rows.groupBy("s", *(["g"] if per_graph else [])).agg(*sets)
+    free: dict[str, Column] = {}
+    for k, (o, _) in enumerate(wanted):
+        held = held.filter(F.size(f"_{k}") > 0)
+        if o.startswith("?") and o != f"?{subject}":
+            name = o[1:]  # a variable that stands in two patterns has the values that both have
+            free[name] = F.array_intersect(free[name], F.col(f"_{k}")) if name in free else F.col(f"_{k}")
+    columns = [F.col("s").alias(subject)] + ([F.col("g").alias("_g")] if per_graph else [])
+    out = held.select(*columns, *[values.alias(name) for name, values in free.items()])
+    for name in free:
+        out = out.withColumn(name, F.explode(name))
+    return out
+
+
+def _blocks(patterns: list[Pattern]) -> list[list[Pattern]]:
+    """Patterns that one pass answers, together; in the order of their first ones."""
+    out: dict[object, list[Pattern]] = {}
+    for k, pattern in enumerate(patterns):
+        star = pattern[0].startswith("?") and not pattern[1].startswith("?")
+        out.setdefault(pattern[0] if star else k, []).append(pattern)
+    return list(out.values())
+
+
 def match(quads: DataFrame, patterns: list[Pattern], graphs: list[str] | None = None, per_graph: bool = False) -> DataFrame:
-    """Bindings of all patterns; per_graph wants every triple of a solution from one graph. Patterns that share no variable
-    with the others are refused, as they would multiply."""
+    """Bindings of all patterns, each once; per_graph wants every triple of a solution from one graph. Patterns that share no
+    variable with the others are refused, as they would multiply."""
     rows = quads if graphs is None else quads.filter(F.col("g").isin(graphs))
-    out, rest = None, list(patterns)
+    out, rest = None, _blocks(patterns)
     while rest:
-        at = 0 if out is None else next((k for k, p in enumerate(rest) if {x[1:] for x in p if x.startswith("?")} & set(out.columns)), None)
+        names = [{x[1:] for p in block for x in p if x.startswith("?")} for block in rest]
+        at = 0 if out is None else next((k for k, found in enumerate(names) if found & set(out.columns)), None)
         if at is None:
             raise ValueError("patterns must share a variable")
-        found = _one(rows, rest.pop(at), per_graph)
+        block = rest.pop(at)
+        found = _one(rows, block[0], per_graph) if len(block) == 1 else _star(rows, block, per_graph)
         out = found if out is None else out.join(found, [c for c in found.columns if c in out.columns])
     return out
 

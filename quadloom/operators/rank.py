@@ -117,19 +117,28 @@ def facet_core(docs: DataFrame, fields: DataFrame, inference: bool = True) -> Da
     return parts
 
 
-def facet_values(fields: DataFrame, attrs: list[str], n: int = 10) -> DataFrame:
-    """(attr, value, kind, n): the n commonest values of each attribute (-1: all), ties by value. kind is literal, uri, or
-    uriliteral for an attribute that has both sorts of values. Where an attribute has object
-    values, its literals are left out. Counts are of distinct records and are combined before the shuffle."""
-    rows = fields.filter(F.col("attr").isin(attrs)).select("uid", "attr", F.coalesce("obj_uri", "value").alias("value"), F.col("obj_uri").isNotNull().alias("is_uri")).distinct()
-    counts = rows.groupBy("attr", "value", "is_uri").agg(F.count("*").alias("n"))
-    sorts = counts.groupBy("attr").agg(F.max("is_uri").alias("any_uri"), F.min("is_uri").alias("all_uri"))
-    kind = F.when(~F.col("any_uri"), "literal").when(F.col("all_uri"), "uri").otherwise("uriliteral")
-    counts = counts.join(sorts, "attr").filter(F.col("is_uri") == F.col("any_uri")).withColumn("kind", kind)
+#: How facet_values names a value that is another record.
+FORMS = ("uri", "literal", "uriliteral")
+
+
+def facet_values(fields: DataFrame, attrs: list[str], n: int = 10, form: str = "uriliteral") -> DataFrame:
+    """(attr, uri, label, n): the n commonest values of each attribute (-1: all), ties by value. Values that are other records are
+    counted and named in the form that is asked for: by their URI (label is null), by their label (uri is null), or by both.
+    Plain values are labels in every form. Where an attribute has both sorts of values, its plain ones are left out. Counts are of
+    distinct records and are combined before the shuffle."""
+    if form not in FORMS:
+        raise ValueError(f"form is one of {', '.join(FORMS)}")
+    is_uri = F.col("obj_uri").isNotNull()
+    uri = F.lit(None).cast("string") if form == "literal" else F.col("obj_uri")
+    label = F.when(~is_uri, F.col("value")) if form == "uri" else F.col("value")
+    rows = fields.filter(F.col("attr").isin(attrs)).select("uid", "attr", uri.alias("uri"), label.alias("label"), is_uri.alias("is_uri")).distinct()
+    counts = rows.groupBy("attr", "uri", "label", "is_uri").agg(F.count("*").alias("n"))
+    sorts = counts.groupBy("attr").agg(F.max("is_uri").alias("is_uri"))
+    counts = counts.join(sorts, ["attr", "is_uri"])
     if n >= 0:
-        best = Window.partitionBy("attr").orderBy(F.desc("n"), "value")
+        best = Window.partitionBy("attr").orderBy(F.desc("n"), "uri", "label")
         counts = counts.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= n)
-    return counts.select("attr", "value", "kind", "n")
+    return counts.select("attr", "uri", "label", "n")
 
 
 def search_results(docs: DataFrame, fields: DataFrame, scores: DataFrame | None = None, exclude: list[str] | None = None) -> DataFrame:

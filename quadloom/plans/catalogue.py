@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from quadloom.operators import index, rank, search
 from quadloom.operators.ontology import class_closure
-from quadloom.plans import record_queries, search_queries, store_queries, stored_queries  # noqa: F401
+from quadloom.plans import record_queries, schema_queries, search_queries, store_queries, stored_queries  # noqa: F401
 from quadloom.plans.fixtures import DS, ONTO, SUPPORTED, Tables
 from quadloom.plans.registry import ORACLE_SQL, QUERIES, query
 

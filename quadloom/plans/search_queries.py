@@ -202,9 +202,20 @@ def r9(t: Tables) -> DataFrame:
     return rank.facet_core(docs_of(t), fields_of(t))
 
 
-@query("r10_facet_values", f"SELECT p AS attr, o AS value, kind, n FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY n DESC, o) AS r FROM (SELECT p, o, o_kind AS kind, count(DISTINCT g || s) AS n FROM quads WHERE p IN ('{ONTO}brand', '{ONTO}nation', '{ONTO}priority') GROUP BY ALL)) WHERE r <= 10")
+FACETED = f"""SELECT q.p AS attr, CASE WHEN q.o_kind = 'uri' THEN q.o END AS uri, CASE WHEN q.o_kind = 'uri' THEN l.o ELSE q.o END AS label, q.g || q.s AS doc
+FROM quads q LEFT JOIN (SELECT s, o FROM quads WHERE p = '{LABEL}') l ON l.s = q.o AND q.o_kind = 'uri' WHERE q.p IN ('{ONTO}brand', '{ONTO}nation', '{ONTO}priority')"""
+FORM_SQL = "SELECT '{0}' AS form, attr, uri, label, n FROM (SELECT *, row_number() OVER (PARTITION BY attr ORDER BY n DESC, uri, label) AS r FROM (SELECT attr, {1} AS uri, {2} AS label, count(DISTINCT doc) AS n FROM faceted GROUP BY 1, 2, 3)) WHERE r <= 10"
+
+
+@query(
+    "r10_facet_values",
+    " UNION ALL ".join(FORM_SQL.format(*x) for x in (("uri", "uri", "CASE WHEN uri IS NULL THEN label END"), ("literal", "CAST(NULL AS STRING)", "label"), ("uriliteral", "uri", "label"))),
+    faceted=FACETED,
+)
 def r10(t: Tables) -> DataFrame:
-    return rank.facet_values(fields_of(t, "part", "supplier", "customer", "orders"), [f"{ONTO}brand", f"{ONTO}nation", f"{ONTO}priority"])
+    fields, attrs = fields_of(t, "part", "supplier", "customer", "orders"), [f"{ONTO}brand", f"{ONTO}nation", f"{ONTO}priority"]
+    rows = [rank.facet_values(fields, attrs, form=form).select(F.lit(form).alias("form"), "attr", "uri", "label", "n") for form in rank.FORMS]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 @query("r11_search_results", f"SELECT uid, label AS pref_label, (SELECT count(DISTINCT attr) FROM ({FIELDS}) f WHERE f.uid = docs.uid) + (SELECT count(DISTINCT p) FROM quads WHERE o_kind = 'uri' AND p <> '{TYPE}' AND md5(g || s) = docs.uid) AS attrs FROM docs WHERE dataset IN ('{DS}nation/', '{DS}supplier/')", docs=DOCS)

@@ -133,7 +133,8 @@ def linked_json_lines(quads: DataFrame, linkage: DataFrame) -> DataFrame:
     lists = rows.select("g", "s", F.when(F.col("p") == TYPE, "type").otherwise(F.col("attr")).alias("attr"), "pos", cell.alias("cell")).groupBy("g", "s", "attr").agg(F.transform(F.sort_array(F.collect_set(F.struct("pos", "cell"))), lambda x: x["cell"]).alias("v"))
     out = lists.groupBy("g", "s").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("attr", "v")))).alias("m"))
     own = F.when(F.col("s").startswith(F.col("g")), F.substring(F.col("s"), F.length("g") + 1, F.length("s"))).otherwise(F.col("s"))
-    return out.select(F.concat(F.lit('{"id":"'), own, F.lit('",'), F.substring(F.to_json("m"), 2, 1 << 30)).alias("value"))
+    head = F.regexp_replace(F.to_json(F.struct(own.alias("id"))), "\\}$", ",")  # an id may hold quotes and backslashes
+    return out.select(F.concat(head, F.substring(F.to_json("m"), 2, 1 << 30)).alias("value"))
 
 
 def triple_tsv_lines(quads: DataFrame, delimiter: str = "\t", descriptions: DataFrame | None = None) -> DataFrame:

@@ -13,36 +13,57 @@ from pyspark.sql import functions as F
 from quadloom.functions.uris import is_valid_iri
 from quadloom.model import PART_OF, TYPE
 
-TRIPLE = '^\\s*(?:<([^>\\s]*)>|(_:\\S+))\\s+<([^>\\s]*)>\\s+(?:<([^>\\s]*)>|(_:\\S+)|"(.*)"(?:@([A-Za-z0-9-]+)|\\^\\^<([^>\\s]*)>)?)\\s*\\.\\s*$'
+#: A quote that no odd run of backslashes stands before.
+_CLOSE = '(?<!(?<!\\\\)(?:\\\\\\\\){0,99}\\\\)"'
+TRIPLE = '^\\s*(?:<([^>\\s]*)>|(_:\\S+))\\s+<([^>\\s]*)>\\s+(?:<([^>\\s]*)>|(_:\\S+?)|"(.*?)' + _CLOSE + '(?:@([A-Za-z0-9-]+)|\\^\\^<([^>\\s]*)>)?)\\s*\\.\\s*(?:#.*)?$'
+#: Escapes of the format: single characters, and code points that are characters.
+_CODE = "u(?![dD][89a-fA-F])[0-9A-Fa-f]{4}|U(?!0000[dD][89a-fA-F])00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}"
+ESCAPE = f"""\\\\(?:[tbnrf"'\\\\]|{_CODE})"""
+_PIECE = f"{ESCAPE}|[^\\\\]+"
+_SIGNS = {"\\t": "\t", "\\b": "\b", "\\n": "\n", "\\r": "\r", "\\f": "\f"}
 #: Prefixes that need no table.
 BUILT_IN = {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "owl": "http://www.w3.org/2002/07/owl#", "xsd": "http://www.w3.org/2001/XMLSchema#", "dcterms": "http://purl.org/dc/terms/", "skos": "http://www.w3.org/2004/02/skos/core#", "foaf": "http://xmlns.com/foaf/0.1/", "geo": "http://www.w3.org/2003/01/geo/wgs84_pos#"}
 
 
 def unescape(text: Column) -> Column:
-    out = F.replace(text, F.lit("\\\\"), F.lit("\u0001"))
-    for code, char in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-        out = F.replace(out, F.lit(code), F.lit(char))
-    return F.replace(out, F.lit("\u0001"), F.lit("\\"))
+    """The text with its escapes decoded, from left to right."""
+
+    def decoded(piece: Column) -> Column:
+        out = F.when(piece.rlike("^\\\\[uU]"), F.decode(F.unhex(F.lpad(F.substring(piece, 3, 8), 8, "0")), "UTF-32"))
+        for code, sign in _SIGNS.items():
+            out = out.when(piece == code, F.lit(sign))
+        return out.when(piece.startswith("\\"), F.substring(piece, 2, 1)).otherwise(piece)
+
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), decoded)
+    return F.when(text.contains("\\"), F.array_join(pieces, "")).otherwise(text)
 
 
 def parse_ntriples(lines: DataFrame, graph: str) -> tuple[DataFrame, DataFrame]:
-    """(quads, errors) of lines (value, pos): blank lines and comments are skipped, malformed lines are errors."""
+    """(quads, errors) of lines (value, pos; file, if blank nodes of several files are to be kept apart): blank lines and comments
+    are skipped, malformed lines and unknown escapes are errors."""
     lines = lines.filter(~F.col("value").rlike("^\\s*(#.*)?$"))
+    part = [F.nullif(F.regexp_extract("value", TRIPLE, k), F.lit("")) for k in range(1, 9)]
     quoted = F.regexp_extract("value", TRIPLE, 6)
-    bare = F.regexp_replace(quoted, "\\\\.", "")  # what is left without escapes holds no quote and no backslash
+    # what is left without escapes holds no quote and no backslash
+    bare = F.regexp_replace(F.concat_ws(" ", part[0], part[2], part[3], part[7], quoted), ESCAPE, "")
     good = F.col("value").rlike(TRIPLE) & ~bare.contains('"') & ~bare.contains("\\")
-    part = [F.nullif(F.regexp_extract("value", TRIPLE, k), F.lit("")) for k in range(1, 9)]
-    uri, blank = part[3], part[4]
+    uri, blank = unescape(part[3]), part[4]
     kind = F.when(uri.isNotNull(), "uri").when(blank.isNotNull(), "bnode").otherwise("literal")
+    if "file" in lines.columns:
+        own = lambda node: F.concat(F.lit("_:"), F.md5("file"), F.lit("-"), F.substring(node, 3, 1 << 20))
+    else:
+        own = lambda node: node
     quads = lines.filter(good).select(
-        F.lit(graph).alias("g"), F.coalesce(part[0], part[1]).alias("s"), part[2].alias("p"), F.coalesce(uri, blank, unescape(quoted)).alias("o"),
-        kind.alias("o_kind"), part[7].alias("o_type"), part[6].alias("o_lang"), F.col("pos").cast("long").alias("pos"),
+        F.lit(graph).alias("g"), F.coalesce(unescape(part[0]), own(part[1])).alias("s"), unescape(part[2]).alias("p"), F.coalesce(uri, own(blank), unescape(quoted)).alias("o"),
+        kind.alias("o_kind"), unescape(part[7]).alias("o_type"), part[6].alias("o_lang"), F.col("pos").cast("long").alias("pos"),
     )
     return quads, lines.filter(~good).select(F.col("value").alias("line"), F.col("pos").cast("long").alias("pos"), F.lit("malformed triple").alias("error"))
 
 
 def read_ntriples(spark: SparkSession, path: str, graph: str) -> tuple[DataFrame, DataFrame]:
-    return parse_ntriples(spark.read.text(path).withColumn("pos", F.monotonically_increasing_id()), graph)
+    """parse_ntriples of all lines of the files; a blank node is one of its file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return parse_ntriples(lines.withColumn("pos", F.monotonically_increasing_id()), graph)
 
 
 SUBJECT_XML = "_type string, _uri string, predicate array<struct<_type:string,object:array<struct<_VALUE:string,_uri:string,_type:string,_lang:string,reify:array<struct<_type:string,_value:string>>>>,reify:array<struct<_type:string,_value:string>>>>"
