@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quadloom.model import OWL, RDF, RDFS, TYPE
 from quadloom.operators import ontology, patterns
+from quadloom.operators.closure_edits import edit_closure
 from quadloom.plans.fixtures import DS, ONTO, Tables
 from quadloom.plans.registry import query
 
@@ -68,3 +69,21 @@ def q1_star(t: Tables) -> DataFrame:
     parts = patterns.match(t.quads("part"), [("?part", TYPE, "?t"), ("?part", f"{ONTO}brand", "?brand"), ("?part", f"{ONTO}size", "?size")])
     orders = patterns.match(t.quads("orders"), [("?part", f"{ONTO}priority", "?brand"), ("?part", f"{ONTO}part", "?size")])
     return parts.select("part", "brand", "size").union(orders.select("part", "brand", "size"))
+
+
+NAME_OF = "regexp_extract(sub, '[^#]*$')"
+EDITED = f"""SELECT sub, super FROM class_edges WHERE NOT (super = '{ONTO}Part' AND {NAME_OF} < 'M') AND NOT (sub = '{ONTO}Supplier' AND super = '{ONTO}Agent')
+UNION SELECT '{ONTO}Product', '{ONTO}Agent' UNION SELECT '{ONTO}Agent', '{ONTO}Being' UNION SELECT '{ONTO}Being', '{ONTO}Product'"""
+
+
+@query(
+    "o1_closure_after_edits",
+    "SELECT sub, super FROM walked",
+    **{"edited": EDITED, "walked(sub, super)": "SELECT sub, super FROM edited UNION SELECT w.sub, e.super FROM walked w JOIN edited e ON w.super = e.sub"},
+)
+def o1_edits(t: Tables) -> DataFrame:
+    """Half the part types leave their parent, a supplier its agent, and three edges close a cycle; only their cones are derived again."""
+    name = F.substring_index("sub", "#", -1)
+    removed = t.class_edges.filter((F.col("super") == f"{ONTO}Part") & (name < "M") | (F.col("sub") == f"{ONTO}Supplier") & (F.col("super") == f"{ONTO}Agent"))
+    added = t.spark.createDataFrame([(f"{ONTO}{a}", f"{ONTO}{b}") for a, b in (("Product", "Agent"), ("Agent", "Being"), ("Being", "Product"))], "sub string, super string")
+    return edit_closure(ontology.transitive(t.class_edges), t.class_edges, added, removed)[0]
