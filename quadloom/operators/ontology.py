@@ -149,14 +149,18 @@ def blank_closure(ontology: DataFrame, start: DataFrame, max_rounds: int = 64) -
 
 def rdf_lists(ontology: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(head, pos, member): the members of every list (first / rest chains) in order, from 0. Each cell learns its head by
-    doubling the way back to it, so a list of n cells takes about log n rounds. Cells of a cycle have no head and are left out."""
+    doubling the way back to it, so a list of n cells takes about log n rounds. Cells of a cycle have no
+    head and are left out."""
     cells = ontology.filter(F.col("p") == f"{RDF}first").groupBy(F.col("s").alias("cell")).agg(F.min("o").alias("member"))
     back = ontology.filter((F.col("p") == f"{RDF}rest") & (F.col("o") != f"{RDF}nil")).groupBy(F.col("o").alias("cell")).agg(F.min("s").alias("before"))
     now = cells.select("cell", "member").join(back, "cell", "left")
     now = cut(now.select("cell", "member", F.coalesce("before", "cell").alias("at"), F.when(F.col("before").isNull(), 0).otherwise(1).alias("pos"), F.col("before").isNull().alias("done")))
+    open_before = None
     for _ in range(max_rounds):
-        if now.filter(~F.col("done")).isEmpty():
+        still = now.filter(~F.col("done")).count()
+        if still in (0, open_before):  # a round that ends no list leaves cycles only
             break
+        open_before = still
         ahead = now.select(F.col("cell").alias("at"), F.col("at").alias("_at"), F.col("pos").alias("_pos"), F.col("done").alias("_done"))
         now = cut(now.join(ahead, "at", "left").select("cell", "member", F.coalesce("_at", "at").alias("at"), (F.col("pos") + F.coalesce("_pos", F.lit(0))).alias("pos"), F.coalesce("_done", F.lit(True)).alias("done")))
     return now.filter("done").select(F.col("at").alias("head"), "pos", "member")
