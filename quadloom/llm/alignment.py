@@ -7,7 +7,7 @@ they are refined by the bytes that they decode to. Where tokens of both end at o
 A text is cut before each single space between two characters that are not white space, and between a letter and a sign behind
 it. No token of either side crosses such a place: the pattern of A starts anew there, and B has no piece with a space mark behind
 another character, or with that sign behind a letter (seen when the model loads). So the alignment of a text is that of its
-chunks in order, and a chunk that a Python worker has seen lately is not encoded again.
+chunks in order, and a Python worker does not encode again what is among the first words that it saw.
 
 How often a pair of ids is linked in the corpus comes from the stored rows by plain sums. The commonest pairs, max_pairs at most,
 go to all tasks as sorted arrays; what they leave is joined by a shuffle.
@@ -15,13 +15,14 @@ go to all tasks as sorted arrays; what they leave is joined by a shuffle.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,10 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def refined_ends(spans: list[tuple[int, int]], pieces: list[bytes]) -> list[int]:
-    """Byte ends of tokens from their coarse spans, in bytes: a token that decodes to other than its span is part of a character
-    or a byte of a fallback, and ends its decoded bytes behind the token before."""
-    ends, at = [], 0
-    for (start, end), piece in zip(spans, pieces):
-        at = end if end - start == len(piece) else at + len(piece)
-        ends.append(at)
-    return ends
+def refined_ends(starts: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens in a row, from their coarse spans: where a span is as long as what the token decodes to it holds, else
+    the token is part of a character or a byte of a fallback, and ends its decoded bytes behind the token before."""
+    return np.where(ends - starts == lengths, ends, np.cumsum(lengths))
 
 
 #: An alignment: number of A tokens, of B tokens, the groups as text, the linked pairs (packed, one for each link). None: the
@@ -75,7 +72,7 @@ class Known:
     def __init__(self):
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
-        self.sizes, self.pairs, self.n_pairs = np.zeros((1024, 4), np.int64), np.zeros(4096, np.int64), 0
+        self.sizes, self.pairs, self.n_pairs, self.chars = np.zeros((1024, 4), np.int64), np.zeros(4096, np.int64), 0, 0
 
     def add(self, words: list[str], found: list[Chunk]) -> None:
         first = len(self.groups)
@@ -93,11 +90,23 @@ class Known:
         self.sizes[first : first + len(words)] = np.stack((*tokens, links, self.n_pairs + np.cumsum(counts) - counts), 1)
         self.n_pairs += len(pairs)
 
+    def keep(self, most: int, new: list[str]) -> None:
+        """Forget of the words added last those beyond the first `most`, or beyond 16 characters for each of so many."""
+        held, at = len(self.groups) - len(new), 0
+        while at < len(new) and held + at < most and self.chars + len(new[at]) <= 16 * most:
+            self.chars += len(new[at])
+            at += 1
+        if at < len(new):
+            for word in new[at:]:
+                del self.number[word]
+            self.n_pairs = int(self.sizes[held + at, 3])
+            del self.groups[held + at :]
+
 
 class Aligner:
     """Aligns the byte-level BPE of file_a (tokenizers) with the piece BPE of file_b (sentencepiece)."""
 
-    def __init__(self, file_a: str, file_b: str, most: int = 500_000):
+    def __init__(self, file_a: str, file_b: str, most: int = 450_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
         from tokenizers import Tokenizer
@@ -116,53 +125,85 @@ class Aligner:
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in entries):
             raise ValueError("a piece of this model crosses a space, so chunks cannot be encoded one by one")
         self.bytes_b = [bytes([int(_BYTE.fullmatch(p)[1], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(entries)]
+        self.lengths_a, self.lengths_b = np.zeros(max(self.bytes_a) + 1, np.int64), np.array([len(x) for x in self.bytes_b], np.int64)
+        for i, x in self.bytes_a.items():
+            self.lengths_a[i] = len(x)
         plain = (p for i, p in enumerate(entries) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)))
         crossed = {sign for p in plain for sign in re.findall(f"(?<={_LETTER}){_SIGN}", p)}
         self._sign = re.compile(f"(?<={_LETTER})(?={_SIGN})" + (f"(?![{re.escape(''.join(sorted(crossed)))}])" if crossed else ""))
         self.most, self.known, self.chunks = most, Known(), {}
 
     def learn(self, words: list[str]) -> None:
-        """Align a space and each of these words. Beyond `most` words (or chunks of words) all are forgotten first."""
-        if len(self.chunks) > self.most:
-            self.chunks = {}
+        """Align a space and each of these words. Chunks of words with a sign in them are kept as long as there is room."""
         cut = [self._sign.split(f" {w}") for w in words]
         new = list(dict.fromkeys(c for parts in cut for c in parts if c not in self.chunks))
-        found = dict(zip(new, self._aligned(new)))
+        gc.disable()  # many short-lived tuples and no cycles: looking for some costs a fifth of the time
+        try:
+            found = dict(zip(new, self._aligned(new)))
+        finally:
+            gc.enable()
         self.known.add(words, [joined([found[c] if c in found else self.chunks[c] for c in parts]) for parts in cut])
-        heads = {parts[0] for parts in cut if len(parts) > 1} | {c for parts in cut for c in parts[1:]}
-        self.chunks.update((c, x) for c, x in found.items() if len(c) <= SHARED and c in heads)
+        if len(self.chunks) < self.most // 4:
+            self.chunks.update((c, found[c]) for parts in cut if len(parts) > 1 for c in parts if len(c) <= SHARED and c in found)
 
     def _aligned(self, chunks: list[str]) -> Iterator[Chunk]:
-        """Alignments of chunks; None where the tokens of either side do not give the bytes back."""
-        bytes_a, bytes_b = self.bytes_a, self.bytes_b
-        for text, a, b in zip(chunks, self.a.encode_batch(chunks, add_special_tokens=False), self.b.encode(chunks, return_type="proto", num_threads=1)):
-            raw, ids_a, ids_b, spans_b = text.encode(), a.ids, [], []
-            for p in b.pieces:
-                ids_b.append(p.id)
-                spans_b.append((p.begin, p.end))
-            pieces_a, pieces_b = [bytes_a.get(i, b"") for i in ids_a], [bytes_b[i] for i in ids_b]
-            if b"".join(pieces_a) != raw or b"".join(pieces_b) != raw:
-                yield None
-                continue
-            spans_a = a.offsets
-            if len(raw) != len(text):
-                at = [0, *accumulate(len(c.encode()) for c in text)]
-                spans_a = [(at[start], at[end]) for start, end in spans_a]
-            ends_a, ends_b = refined_ends(spans_a, pieces_a), refined_ends(spans_b, pieces_b)
-            groups, pairs, i, j = [], [], 0, 0
-            for end in sorted({*ends_a} & {*ends_b}):
-                k, m = ends_a.index(end, i) + 1, ends_b.index(end, j) + 1
-                of_a, of_b = ids_a[i:k], ids_b[j:m]
-                groups.append(f"{','.join(map(str, of_a))}|{','.join(map(str, of_b))}")
-                pairs += [x << 32 | y for x in of_a for y in of_b]
-                i, j = k, m
-            yield len(ids_a), len(ids_b), ";".join(groups), pairs
+        """Alignments of chunks, in portions that bound the memory of the libraries' answers."""
+        for start in range(0, len(chunks), 2000):
+            part = chunks[start : start + 2000]
+            a, b = self.a.encode_batch(part, add_special_tokens=False), self.b.encode(part, return_type="proto", num_threads=1)
+            tokens_a = [(e.ids, e.offsets) for e in a]
+            tokens_b = [([x.id for x in p], [(x.begin, x.end) for x in p]) for p in (x.pieces for x in b)]
+            yield from self._grouped(part, tokens_a, tokens_b)
+
+    def _grouped(self, chunks: list[str], tokens_a: list[tuple], tokens_b: list[tuple]) -> Iterator[Chunk]:
+        """Alignments from ids and spans (of A in characters, of B in bytes), all chunks laid end to end; None where the tokens of
+        either side do not give the bytes back."""
+        raw = [c.encode() for c in chunks]
+        pieces = [[b"".join([known[i] for i in ids]) for ids, _ in tokens] for known, tokens in ((self.bytes_a, tokens_a), (self.bytes_b, tokens_b))]
+        lost = [x != r or y != r for x, y, r in zip(*pieces, raw)]
+        if any(lost):
+            left = [k for k, gone in enumerate(lost) if not gone]
+            found = iter(self._grouped([chunks[k] for k in left], [tokens_a[k] for k in left], [tokens_b[k] for k in left]) if left else ())
+            for gone in lost:
+                yield None if gone else next(found)
+            return
+        base, flat = np.concatenate(([0], np.cumsum([len(r) for r in raw]))), []
+        for tokens, of_length in ((tokens_a, self.lengths_a), (tokens_b, self.lengths_b)):
+            ids = np.fromiter(chain.from_iterable(x for x, _ in tokens), np.int64)
+            spans = np.fromiter(chain.from_iterable(chain.from_iterable(x for _, x in tokens)), np.int64).reshape(-1, 2)
+            count = np.array([len(x) for x, _ in tokens], np.int64)
+            if tokens is tokens_a:
+                upto = np.cumsum(count)
+                for k, (text, r) in enumerate(zip(chunks, raw)):
+                    if len(text) != len(r):  # characters to bytes
+                        place = np.array([0, *accumulate(len(c.encode()) for c in text)])
+                        here = spans[upto[k] - count[k] : upto[k]]
+                        here[:] = place[here]
+            spans += np.repeat(base[:-1], count)[:, None]
+            flat.append((ids, refined_ends(spans[:, 0], spans[:, 1], of_length[ids]), count))
+        (ids_a, ends_a, n_a), (ids_b, ends_b, n_b) = flat
+        cuts = np.intersect1d(ends_a, ends_b)
+        # tokens of each group, and groups of each chunk, as places in the flat arrays
+        to_a, to_b = np.searchsorted(ends_a, cuts, "right"), np.searchsorted(ends_b, cuts, "right")
+        last = np.searchsorted(cuts, base[1:], "right").tolist()
+        a, b, to_a, to_b = ids_a.tolist(), ids_b.tolist(), to_a.tolist(), to_b.tolist()
+        i = j = g = 0
+        for k, (x, y) in enumerate(zip(n_a.tolist(), n_b.tolist())):
+            groups, pairs = [], []
+            while g < last[k]:
+                of_a, of_b = a[i : to_a[g]], b[j : to_b[g]]
+                i, j, g = to_a[g], to_b[g], g + 1
+                if len(of_a) == 1 == len(of_b):
+                    groups.append(f"{of_a[0]}|{of_b[0]}")
+                    pairs.append(of_a[0] << 32 | of_b[0])
+                else:
+                    groups.append(f"{','.join(map(str, of_a))}|{','.join(map(str, of_b))}")
+                    pairs += [s << 32 | t for s in of_a for t in of_b]
+            yield x, y, ";".join(groups), pairs
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """A row for each text with n_a, n_b, n_groups and n_links; its groups_sha256; the number of its distinct pairs; and of
         all texts in order the distinct pairs and how often each is linked."""
-        if len(self.known.groups) > self.most:
-            self.known = Known()
         cut = [_CUT.split(t) if t else [] for t in texts]
         number = self.known.number
         new = list(dict.fromkeys(w for parts in cut for w in parts if w not in number))
@@ -194,6 +235,7 @@ class Aligner:
         pair, row, places = pair[order], row[order], places[order]
         first = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])))) if len(pair) else np.zeros(0, np.int64)
         times = np.add.reduceat(places, first) if len(first) else np.zeros(0, np.int64)
+        self.known.keep(self.most, new)  # the first words seen hold nearly all the common ones
         return counts, digests, np.bincount(row[first], minlength=len(texts)), pair[first], times
 
 

@@ -16,6 +16,7 @@ to the earlier place in the item, then in the document. Empty tables give no row
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +27,17 @@ from pyspark.sql import functions as F
 from quadloom.llm.hashing import prefix_sums, window_hashes, word_hashes
 from quadloom.llm.shared import small_side, stored
 
-_ALNUM = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
+_ALNUM = bytes(b if b < 128 and chr(b).isalnum() else 32 for b in range(256))
+_SIGNS = re.compile(r"[\W_]+")
 
 
 def plain_words(text: str | None) -> np.ndarray:
     """Hashes of the runs of letters and digits of the lower-cased text, in order."""
-    return word_hashes(np.frombuffer(text.lower().encode().translate(_ALNUM), np.uint8)) if text else np.zeros(0, np.uint64)
+    if not text:
+        return np.zeros(0, np.uint64)
+    low = text.lower()
+    raw = low.encode().translate(_ALNUM) if low.isascii() else _SIGNS.sub(" ", low).encode()
+    return word_hashes(np.frombuffer(raw, np.uint8))
 
 
 class Side:

@@ -12,7 +12,7 @@ ever lost, a source misses its budget by less than a block, and rows are decided
 target entropy, no source is taken for more than max_repetition times the epochs of the least repeated one: the exponent is the
 smallest that keeps to both, so a tiny source beside a large one is not copied without bound.
 
-Nulls and odd input: a null source is a source of its own, written as an empty string in the tables here; a null text has
+Nulls and odd input: a null source counts as the empty one; a null text has
 no tokens; a null id falls in one block; repeated rows are rows of their own. A source without tokens is kept once. An
 empty table gives no rows. Columns of docs named as an output are replaced, all others are kept.
 """
@@ -88,6 +88,11 @@ def mix_sources(docs: DataFrame, max_repetition: float = 2.0, target_entropy: fl
     return mixed(docs, mixing_plan(docs, max_repetition, target_entropy, budget, blocks), blocks)
 
 
+def named(column: str) -> Column:
+    """A column by its name, whatever signs that holds."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def mixed(docs: DataFrame, plan: DataFrame, blocks: int, outputs: bool = True) -> DataFrame:
     """docs by a plan of mixing_plan; without outputs, with no column but its own, whatever their names."""
     columns = docs.columns
@@ -96,9 +101,9 @@ def mixed(docs: DataFrame, plan: DataFrame, blocks: int, outputs: bool = True) -
     placed = docs.withColumns({source: F.coalesce(F.col("source").cast("string"), F.lit("")), block: dealt(F.col("doc_id"), blocks)})
     out = placed.join(plan, [source, block])
     if not outputs:
-        return out.select(*columns)
+        return out.select(*map(named, columns))
     key = F.concat(F.lit("place:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col(epoch).cast("string"))
-    kept = [c for c in columns if c not in ("epoch", "block_rank", "order_key")]
+    kept = [named(c) for c in columns if c.lower() not in ("epoch", "block_rank", "order_key")]
     return out.select(*kept, F.col(epoch).alias("epoch"), F.col(rank).alias("block_rank"), hash_bits(key).alias("order_key"))
 
 

@@ -7,7 +7,7 @@ the threshold widens with the square root of the shortness, as a histogram's noi
 a language with too few words for a stable reference, pass, as nothing can be said of them. Two base rules (few words, many
 repeated three-word windows) reject on their own.
 
-Null text: no words, so the base rule rejects it. A null language is a language of its own. Rows are judged one by one:
+Null text: no words, so the base rule rejects it. A null language counts as the empty one. Rows are judged one by one:
 repeats and null ids change nothing but the references' counts. Other columns are kept, but columns named as an output
 are replaced. Ties of common words go to the smaller word. Empty tables give no rows.
 """

@@ -248,12 +248,31 @@ def test_alignment_of_hard_texts_whatever_is_looked_up(spark, tokenizers, most):
     assert got == brute_alignment(docs, tokenizers)
 
 
-def test_alignment_forgets_and_odd_rows(spark, tokenizers):
-    small, texts = Aligner(A_FILE, B_FILE, most=3), [t or "" for t in HARD] + ["plain words here, and more words!"]
-    for _ in range(2):
-        for t in texts:
-            counts, digests, *_ = small.texts([t])
-            groups = brute_groups(t, tokenizers)
-            assert counts[0, 2] == len(groups or []) and bool(digests[0]) == bool(groups)
+def test_alignment_keeps_few_words_and_odd_rows(spark, tokenizers):
+    aligner, texts = Aligner(A_FILE, B_FILE, most=3), [t or "" for t in HARD] + ["plain words here, and more words!"]
+    for t in texts * 2:
+        counts, digests, *_ = aligner.texts([t])
+        groups = brute_groups(t, tokenizers)
+        assert counts[0, 2] == len(groups or []) and bool(digests[0]) == bool(groups)
+    assert len(aligner.known.groups) == len(aligner.known.number) <= 3
     assert scored_alignment(odd_rows(spark, []), A_FILE, B_FILE).count() == 0
     assert scored_alignment(odd_rows(spark, ODD), A_FILE, B_FILE).count() == len(ODD)
+
+
+def test_benchmark_words_are_letters_and_digits_of_any_alphabet(spark):
+    from quadloom.llm.decontaminate import contaminated_pairs, plain_words
+
+    plain, dressed = '"the" "quick" brown-fox jumps over été 42 Straße', "“The” «quick» brown—fox… jumps_over… été·42 Straße"
+    assert plain_words(plain).tolist() == plain_words(dressed).tolist() and len(plain_words(plain)) == 9
+    docs = spark.createDataFrame([(1, f"x {dressed} y"), (2, "nothing of it")], "doc_id long, text string")
+    found = contaminated_pairs(docs, spark.createDataFrame([(7, plain)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.matched_words) for r in found] == [(1, 7, 9)]
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    from quadloom.llm.mixing import mix_sources, repeat_by_source
+
+    docs = spark.createDataFrame([(k, "a" if k % 3 else None, "some words here", "x", 5, "z") for k in range(9)], "doc_id long, source string, text string, `a.b` string, Epoch int, `c``d` string")
+    assert repeat_by_source(docs).columns == docs.columns and repeat_by_source(docs).count() >= 9
+    mixed = mix_sources(docs)
+    assert [c for c in mixed.columns if c.lower() == "epoch"] == ["epoch"] and {r["a.b"] for r in mixed.collect()} == {"x"}
