@@ -7,7 +7,7 @@ takes it, at least once. 5. sharding: rows get their shard and slot.
 Stages 1 to 4 return the columns of documents, whatever else those are; sharding adds its own and replaces columns of their
 names. A null or empty text has too few words and goes in stage 1. A null id is kept by stages 2 and 3 if its text is, for it
 is linked with nothing, and has a shard like any key. Rows that repeat an id and text share every verdict; of near-duplicates
-the smallest id stays, and all rows with it. A null source is a source of its own. An empty table gives no rows.
+the smallest id stays, and all rows with it. A null source counts as the empty one. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ from quadloom.functions.uris import is_valid_iri
 from quadloom.model import PART_OF, TYPE
 
 #: A quote that no odd run of backslashes stands before.
-_CLOSE = '(?<!(?<!\\\\)(?:\\\\\\\\){0,99}\\\\)"'
+_CLOSE = '"(?<!(?<!\\\\)(?:\\\\\\\\){0,99}\\\\")'
 TRIPLE = '^\\s*(?:<([^>\\s]*)>|(_:\\S+))\\s+<([^>\\s]*)>\\s+(?:<([^>\\s]*)>|(_:\\S+?)|"(.*?)' + _CLOSE + '(?:@([A-Za-z0-9-]+)|\\^\\^<([^>\\s]*)>)?)\\s*\\.\\s*(?:#.*)?$'
 #: Escapes of the format: single characters, and code points that are characters.
 _CODE = "u(?![dD][89a-fA-F])[0-9A-Fa-f]{4}|U(?!0000[dD][89a-fA-F])00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}"
