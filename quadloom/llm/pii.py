@@ -1,18 +1,22 @@
 """Personal data, and the terms that would reveal it, by information-theoretic sanitisation.
 
 Four kinds of protected entities are found by pattern. Redacting them is not enough if the words around them tell who is
-meant, so the corpus is asked: for an entity e and a term t standing with it in c texts, the pointwise mutual information
-log2(N * c / (df(e) * df(t))) says how much of e's information -log2(df(e) / N) the term discloses. A term that discloses at
-least `generalise` of it becomes a placeholder, at least `remove` of it goes, wherever it stands in a text with e. No pair is dropped for being rare: one seen in
-fewer than `support` different texts has the missing ones added to df(t), as if t stood in so many more texts without e.
+meant, so the corpus is asked: for an entity e and a term t, log2(N * c / (df(e) * (df(t) + prior))) says
+how much of e's information log2(N / df(e)) the term discloses when both stand in c texts. A term that discloses at least
+`generalise` of it becomes a placeholder, at least `remove` of it goes, wherever it stands in a text with e. No pair is dropped
+for being rare, and the prior is the same in every corpus: one more text, in which t would stand without e.
 c, df(e) and N count different texts, and df(t) takes copies of the pair's texts as one, so copies of one text prove nothing.
 
 Only texts that hold an entity and one count per term are shuffled. A term can disclose e only if df(t) is at most
-N^(1 - generalise) df(e)^generalise more than e's documents, so commoner terms of a text are left out before its terms meet its
-entities: no pair that could disclose is lost, and no term of a third of all documents is a hot group unless an entity is.
+N^(1 - generalise) df(e)^generalise more than e's documents, so commoner terms of a text are left out before its terms
+meet its entities: no pair that could disclose is lost, and no term of a third of all documents is a hot group unless an entity
+is. Entities that stand in the same texts have the same counts, and so have terms with the same texts and df(t). Both are
+grouped by a 128-bit digest of their texts (a sum, so no list is held), and only groups are paired: a text with thousands of
+addresses and of words that occur nowhere else makes one pair.
 
 A null text is empty. Rows are read one by one; repeated rows get the same spans; a null id is a value like any other. Spans
-are in code points, end exclusive. Extra columns are ignored; an empty table gives no rows.
+are in code points, end exclusive, of texts of any length. A term told by several entities is removed if any of them asks for
+it. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.shared import small_side, stored
+from quadloom.llm.shared import forget, measured_side, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive forms of the base patterns that find the same leftmost matches in linear time: a run of mailbox characters is
@@ -155,7 +159,13 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(places, pa.list_(_PLACE))], names=[*kept.schema.names, "terms"])
 
 
-def find_personal_data(docs: DataFrame, support: int = 3, generalise: float = 0.85, remove: float = 0.95) -> DataFrame:
+def _texts_digest(*more: str) -> Column:
+    """A digest of the set of text_key values of a group, one row for each, and of the columns named."""
+    sums = [F.bit_xor(F.xxhash64("text_key", F.lit(seed))).cast("string") for seed in (1, 2)]
+    return F.unhex(F.md5(F.concat_ws(" ", F.count("*").cast("string"), *sums, *(F.first(c).cast("string") for c in more))))
+
+
+def find_personal_data(docs: DataFrame, prior: float = 1.0, generalise: float = 0.85, remove: float = 0.95) -> DataFrame:
     """One row per row of docs (doc_id, text): counts and digest of the base spans, base_spans, terms (disclosing terms as
     array<struct<first, last, action>>) and spans (base, then term spans)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
@@ -164,25 +174,31 @@ def find_personal_data(docs: DataFrame, support: int = 3, generalise: float = 0.
     held = found.filter("held is not null")
     n = F.lit(float(found.select("text_key").distinct().count()))
     copies = held.groupBy("text_key").agg(F.count("*").alias("docs"))
-    named = held.select("text_key", F.explode("entities").alias("entity")).distinct()
-    sizes = named.join(copies, "text_key").groupBy("entity").agg(F.count("*").alias("df_e"), F.sum("docs").alias("docs_e"))
+    named = stored(held.select("text_key", F.explode("entities").alias("entity")).distinct().join(copies, "text_key"), "named")
+    sizes = named.groupBy("entity").agg(_texts_digest().alias("who"), F.count("*").alias("df_e"), F.sum("docs").alias("docs_e"))
     limit = F.pow(n, F.lit(1 - generalise)) * F.pow("df_e", F.lit(generalise)) + F.col("docs_e")
-    sizes = stored(sizes.withColumn("limit", limit), "entities")
-    named = stored(named.join(small_side(sizes), "entity").join(copies, "text_key").select("text_key", "entity", "df_e", "limit", "docs"), "named")
+    sizes = stored(sizes.select("entity", "who", "df_e", limit.alias("limit")), "entities")
+    groups = stored(named.join(measured_side(sizes), "entity").select("text_key", "who", "df_e", "limit", "docs").distinct(), "groups")
     counted = stored(docs.select("text").mapInArrow(_count_terms, "term string, df_t long").groupBy("term").agg(F.sum("df_t").alias("df_t")), "counted")
     most = sizes.agg(F.max("limit")).first()[0] or 0.0
     # at most a thousand times the terms of a document are commoner than this; without them no term is a hot key
-    common = counted.filter(F.col("df_t") > F.greatest(F.lit(most), n / 1000)).select("term")
+    common = stored(counted.filter(F.col("df_t") > F.greatest(F.lit(most), n / 1000)).select("term"), "common")
+    rare = stored(counted.filter(F.col("df_t") <= most), "rare")
     has = held.select("text_key", "held", "base_spans").mapInArrow(_terms_of_held, "text_key long, term string")
-    has = has.join(F.broadcast(common), "term", "left_anti").join(small_side(stored(counted.filter(F.col("df_t") <= most), "rare")), "term").distinct()
-    pairs = stored(has.join(named, "text_key").filter(F.col("df_t") <= F.col("limit")), "pairs")
-    sums = pairs.groupBy("entity", "term").agg(F.sum("docs").alias("c"), F.count("*").alias("texts"), F.first("df_e").alias("df_e"), F.first("df_t").alias("df_t"))
-    df_t = F.col("df_t") - F.col("c") + F.greatest("texts", F.lit(support))
-    told = sums.withColumn("share", F.log2(n * F.col("texts") / (F.col("df_e") * df_t)) / F.greatest(F.log2(n / F.col("df_e")), F.lit(1e-9)))
-    told = stored(told.filter(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")), "disclosing")
-    hits = pairs.select("entity", "term", "text_key").join(told, ["entity", "term"]).groupBy("text_key", "term").agg(F.max("action").alias("action"))
-    hits = hits.groupBy(F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("term", "action")).alias("told"))
-    placed = held.drop("entities").join(hits, held["text_key"] == hits["_key"], "left").drop("_key").mapInArrow(_place, f"{base}, terms array<struct<first:int,last:int,action:string>>")
+    terms = stored(has.join(measured_side(common), "term", "left_anti").join(measured_side(rare), "term").distinct(), "terms")
+    alike = stored(terms.groupBy("term").agg(_texts_digest("df_t").alias("what")), "alike")
+    has = terms.join(measured_side(alike), "term")
+    pairs = has.select("text_key", "what", "df_t").distinct().join(groups.hint("merge"), "text_key").filter(F.col("df_t") <= F.col("limit"))
+    pairs = stored(pairs.drop("limit"), "pairs")
+    sums = pairs.groupBy("who", "what").agg(F.sum("docs").alias("c"), F.count("*").alias("texts"), F.first("df_e").alias("df_e"), F.first("df_t").alias("df_t"))
+    chance = F.col("texts") / (F.col("df_t") - F.col("c") + F.col("texts") + prior)
+    told = sums.withColumn("share", F.log2(n * chance / F.col("df_e")) / F.greatest(F.log2(n / F.col("df_e")), F.lit(1e-9)))
+    told = stored(told.filter(F.col("share") >= generalise).select("who", "what", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")), "disclosing")
+    hits = pairs.select("who", "what", "text_key").join(measured_side(told), ["who", "what"]).groupBy("text_key", "what").agg(F.max("action").alias("action"))
+    hits = has.select("text_key", "term", "what").join(hits.hint("merge"), ["text_key", "what"])
+    hits = stored(hits.groupBy(F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("term", "action")).alias("told")), "told")
+    forget(named, sizes, groups, counted, common, rare, terms, alike, pairs, told)
+    placed = held.drop("entities").join(measured_side(hits), held["text_key"] == hits["_key"], "left").drop("_key").mapInArrow(_place, f"{base}, terms array<struct<first:int,last:int,action:string>>")
     none = F.array().cast("array<struct<first:int,last:int,action:string>>")
     out = placed.unionByName(found.filter("held is null").drop("entities", "held").withColumn("terms", none))
     extra = F.transform("terms", lambda t: F.concat(F.lit("term:"), t["first"].cast("string"), F.lit(":"), t["last"].cast("string")))

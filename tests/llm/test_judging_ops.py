@@ -15,7 +15,7 @@ from quadloom.llm.chat import format_chats, loss_text
 from quadloom.llm.decontaminate import contaminated_pairs, drop_contaminated, plain_words, tiles
 from quadloom.llm.hashing import hashed_rows
 from quadloom.llm.mixing import mix_sources
-from quadloom.llm.pii import base_spans, find_personal_data, sanitised
+from quadloom.llm.pii import base_spans, entity_of, find_personal_data, sanitised
 from quadloom.llm.quality import js_distance, judge_quality
 from quadloom.llm.toxicity import Restorer, _trigrams, score_toxicity
 
@@ -246,6 +246,55 @@ def test_every_place_of_a_disclosing_term(spark):
     assert len(clean) == len(docs) + 1 and {r.doc_id for r in clean if "wiesengrund" in r.text.lower()} == {70}
 
 
+def brute_disclosing(docs, prior=1.0, generalise=0.85, remove=0.95):
+    """(doc_id, first, last, action) by trying every entity against every term of its texts."""
+    texts = {t for _, t in docs}
+    spans = {t: brute_spans(t or "") for t in texts}
+    who, what = {t: {entity_of(k, t[a:b]) for k, a, b in spans[t]} for t in texts}, {}
+    for t in texts:
+        places = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W\d_]{3,}", t or "")]
+        what[t] = [(w, a, b) for w, a, b in places if not any(x < b and a < y for _, x, y in spans[t])]
+    copies, df_e, df_t, told = Counter(t for _, t in docs), Counter(e for t in texts for e in who[t]), Counter(), {}
+    for _, t in docs:
+        df_t.update({m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", t or "")})
+    beside = {t: {w for w, _, _ in what[t]} for t in texts}
+    for e in df_e:
+        for w in set().union(*(beside[t] for t in texts if e in who[t])):
+            both = [t for t in texts if e in who[t] and w in beside[t]]
+            chance = len(both) / (df_t[w] - sum(copies[t] for t in both) + len(both) + prior)
+            share = math.log2(len(texts) * chance / df_e[e]) / max(math.log2(len(texts) / df_e[e]), 1e-9)
+            if share >= generalise:
+                for t in both:
+                    told[t, w] = max(told.get((t, w), ""), "remove" if share >= remove else "generalise")
+    return sorted((i, a, b, told[t, w]) for i, t in docs for w, a, b in what[t] if (t, w) in told)
+
+
+def test_disclosing_terms_equal_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    for size, vocabulary in ((120, 400), (300, 2000)):
+        words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(vocabulary)]
+        some = lambda few: [words[int(k)] for k in np.minimum(rng.zipf(1.3, few), vocabulary) - 1]
+        docs = []
+        for i in range(size):
+            addresses = [f"u{int(k)}@x.org" for k in rng.integers(0, 25, int(rng.integers(0, 4)))]
+            docs.append((i, " ".join(rng.permutation([*some(20), *addresses])) if i % 9 else None if i % 2 else docs[i - 1][1] if i else ""))
+        docs += [(size + k, docs[7][1]) for k in range(5)]
+        found = find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        got = sorted((r.doc_id, t["first"], t["last"], t["action"]) for r in found for t in r.terms or ())
+        assert got == brute_disclosing(docs) and got
+
+
+def test_thousands_of_entities_and_terms_in_one_text(spark):
+    text = lambda x: " ".join([*(f"a{x}{k}@b{k}.org" for k in range(1500)), *(f"w{x}" + "".join(chr(97 + int(c)) for c in str(k)) for k in range(8000))])
+    docs = [(1, text("x")), (2, text("y"))] + [(10 + k, f"plain {k}") for k in range(200)]
+    found = {r.doc_id: r for r in find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found[1].n_email == found[2].n_email == 1500 and len(found[1].terms) == len(found[2].terms) == 8000 and not found[10].terms
+
+
+def test_small_corpora_have_disclosing_terms(spark):
+    assert queries.op4_personal_data(spark, MEDIUM).filter("spans like '%term:%'").count() > 0
+
+
 def test_viterbi_restores_disguised_words(spark):
     texts = list(texts_of(spark, MEDIUM).values())
     import pyarrow as pa
@@ -266,6 +315,19 @@ def auc(rows):
     return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
 
 
+def test_the_fast_test_changes_no_reading():
+    """No text that it clears would be changed by decoding, whatever stands beside it."""
+    rng = np.random.default_rng(12)
+    restorer = Restorer(np.log(rng.dirichlet(np.ones(27), (27, 27))))
+    for text in ("sh!7", "sh|7", "foo!1", "t!7", "s!$.", "ш!7ж", "a²²²b", "x#!(1", "what? (12) no!"):
+        assert restorer.restore(text) == restorer.decoded(text.lower()), text
+    signs = list("abst0123456789@$!|+(*#. -_?,éßшж²½\n")
+    for alphabet in (signs, list("ab!(#|17 "), list("aé . -_b"), list("?aш!3 ")):
+        for _ in range(20_000):
+            text = "".join(rng.choice(alphabet, int(rng.integers(1, 12)))).lower()
+            assert restorer.restore(text) == restorer.decoded(text), text
+
+
 def test_toxicity_on_held_out_rows(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     rows = queries.op5_toxicity(spark, "/root/testdata/sf0.1").collect()
