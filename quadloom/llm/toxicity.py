@@ -45,7 +45,6 @@ _AFTER = rf"[^\W_]|[{_SIGNS.replace(re.escape('*'), '')}]"
 #: Three or more single letters or signs with gaps between them, as many as there are.
 _GAPS = re.compile(rf"(?<![\w{_SIGNS}])(?:{_UNIT})(?:[ .\-_*]{{1,2}}(?:{_UNIT})(?!{_AFTER})){{2,}}+")
 _WORD = re.compile(r"[^\W\d_]+")
-_SUSPECT = re.compile(rf"[{_SIGNS}][^\W\d_]|[^\W\d_][0-9@$+*]|([^\W\d_])\1\1|(?<!\w)(?:{_UNIT})[ .\-_*]{{1,2}}(?:{_UNIT})[ .\-_*]")
 CHANNEL = {"same": 0.0, "stands_for": -0.5, "kept_sign": -4.0, "kept_star": -1.0, "closed_gap": -0.5, "kept_gap": -1.0, "shortened": -0.3}
 BASELINE = 0.02
 
@@ -61,34 +60,39 @@ def _code_table() -> np.ndarray:
 _CODES = _code_table()
 
 
-def _kind_table() -> np.ndarray:
-    """Bits of each Latin-1 character: 1 small letter, 2 any letter, 4 digit or sign that no punctuation is, 8 sign, 16 letter or
-    sign other than *."""
+def _kind_table(unknown: bool) -> np.ndarray:
+    """Bits of each Latin-1 character of a lower-case text: 1 letter, 2 digit or sign that no punctuation is, 4 sign, 8 letter or
+    sign other than *, 16 sign that is punctuation at the end of a word. `unknown`: a question mark stands for any letter."""
     table = np.zeros(256, np.uint8)
     for b in range(256):
         c = bytes([b]).decode("latin-1")
-        table[b] = (c.isalpha() and c == c.lower()) + 2 * c.isalpha() + 4 * (c in "0123456789@$+") + 8 * (c in LEET) + 16 * (c.isalpha() or c in LEET and c != "*")
+        letter = bool(_WORD.match(c)) or c.isalpha() or unknown and c == "?"
+        table[b] = letter + 2 * (c in "0123456789@$+") + 4 * (c in LEET) + 8 * (letter or c in LEET and c != "*") + 16 * (c in _ENDING)
     return table
 
 
-_KINDS = _kind_table()
+_KINDS = {unknown: _kind_table(unknown) for unknown in (False, True)}
+_LETTER_ENDING = re.compile(rf"[^\W\d_][{re.escape(_ENDING)}]++[01345789@$+]")
 
 
 def may_be_disguised(text: str) -> bool:
-    """A fast test of a lower-case text that no suspicious stretch fails: signs before letters, digits or @$+* behind them, a letter
-    three times, or single letters with gaps. Characters outside Latin-1 count as letters."""
-    if not text.isascii() and "?" in text:
-        return _SUSPECT.search(text) is not None
+    """A fast test of a lower-case text; where it says no, decoding would change nothing. A signed stretch is decoded only if it
+    holds a sign before a letter, a digit or @$+ behind a letter, or one of these behind a letter and signs of punctuation; a
+    drawn one holds a letter three times; one with gaps holds single letters two or three places apart. Texts with a * are never
+    cleared, and characters outside Latin-1 count as letters."""
     raw = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
     if len(raw) < 3:
         return False
-    kind = _KINDS[raw]
-    if (((kind[:-1] & 8) != 0) & ((kind[1:] & 1) != 0)).any() or (((kind[:-1] & 1) != 0) & ((kind[1:] & 4) != 0)).any():
+    kind = _KINDS[not text.isascii()][raw]
+    letter = (kind & 1) != 0
+    if (((kind[:-1] & 4) != 0) & letter[1:]).any() or (letter[:-1] & ((kind[1:] & 2) != 0)).any() or b"*" in raw.tobytes():
+        return True
+    if (((kind[:-1] & 16) != 0) & ((kind[1:] & 2) != 0)).any() and _LETTER_ENDING.search(text):
         return True
     same = raw[1:] == raw[:-1]
-    if (same[1:] & same[:-1] & (((kind[2:] & 2) != 0) | (raw[2:] == 63))).any() or b"*" in raw.tobytes():
+    if (same[1:] & same[:-1] & letter[2:]).any():
         return True
-    unit = np.concatenate(([False], (kind & 16) != 0, [False]))
+    unit = np.concatenate(([False], (kind & 8) != 0, [False]))
     alone = unit[1:-1] & ~unit[:-2] & ~unit[2:]
     return bool((alone[:-2] & alone[2:]).any() or (alone[:-3] & alone[3:]).any())
 
@@ -204,8 +208,9 @@ class Restorer:
     def restore(self, text: str) -> str:
         """The text in lower case with its suspicious stretches decoded."""
         text = text.lower()
-        if not may_be_disguised(text):
-            return text
+        return self.decoded(text) if may_be_disguised(text) else text
+
+    def decoded(self, text: str) -> str:
         text = _SIGNED.sub(self._signed, _GAPS.sub(self._gaps, text))
         return _DRAWN.sub(lambda m: self.decode(m[0]), text) if _TRIPLE.search(text) else text
 
