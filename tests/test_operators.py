@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quadloom.functions import uris
+from quadloom.functions.stemming import stem
 from quadloom.model import LABEL, LAT, LONG, QUADS, RDFS, STATEMENTS, TYPE
 from quadloom.operators import access, index, mapping, ontology, patterns, rank, records, revisions, search, tagging, writes
 from quadloom.plans.fixtures import DS, ONTO, Tables
@@ -143,6 +146,43 @@ def test_tagging_prefers_longest_then_earliest(spark):
     assert values(tagging.tag_concepts(spark.createDataFrame([(1, "runnings")], "doc_id long, text string"), stems, stemming=True), "concept") == [("run",)]
 
 
+#: Words of the published description of the stemmer and their stems after all five steps.
+STEMS = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor
+sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail
+filing file happy happi sky sky relational relat conditional condit rational ration digitizer digit conformably conform radically radic
+differently differ vilely vile analogously analog vietnamization vietnam predication predic operator oper feudalism feudal
+decisiveness decis hopefulness hope callousness callous formality formal sensitivity sensit sensibility sensibl triplicate triplic
+formative form formalize formal electricity electr electrical electr hopeful hope goodness good revival reviv allowance allow
+inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac
+adjustment adjust dependent depend adoption adopt communism commun activate activ angularity angular homologous homolog
+effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll running run runs run babies babi
+baby babi generalizations gener oscillators oscil enjoying enjoi yes ye as as toying toi""".split()
+
+
+def test_stems_of_the_published_examples(spark):
+    pairs = list(zip(STEMS[::2], STEMS[1::2]))
+    got = {r.w: r.s for r in spark.createDataFrame(pairs, "w string, want string").select("w", stem(F.col("w")).alias("s")).collect()}
+    assert got == dict(pairs)
+
+
+def test_tagging_equals_trying_every_label(spark):
+    rng = random.Random(5)
+    labels = {tuple(rng.choice("abc") for _ in range(rng.randint(1, 7))): f"c{k}" for k in range(25)}
+    texts = [(k, " ".join(rng.choice("abcx") for _ in range(rng.randint(0, 60)))) for k in range(150)] + [(900, None), (901, "")]
+    want = []
+    for k, text in texts:
+        words, taken = (text or "").split(), set()
+        for n, first in sorted((-len(w), i) for w in labels for i in range(len(words)) if tuple(words[i : i + len(w)]) == w):
+            if not taken & set(range(first, first - n)):
+                taken |= set(range(first, first - n))
+                want.append((k, labels[tuple(words[first : first - n])], first, first - n))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    names = spark.createDataFrame([(c, " ".join(w)) for w, c in labels.items()] + [("none", ""), ("null", None)], "concept string, label string")
+    for most in (1 << 20, 0):  # the automaton, the joins
+        assert sorted(values(tagging.tag_concepts(docs, names, broadcast_bytes=most), "doc_id", "concept", "first", "last")) == sorted(want)
+    assert tagging.tag_concepts(docs, names.limit(0)).count() == 0 and tagging.tag_concepts(docs.limit(0), names).count() == 0
+
+
 def test_hub_target_is_one_label_row(spark):
     q = quads(spark, [(f"s{i}", "to", "hub", "uri") for i in range(500)] + [("hub", LABEL, "Hub")])
     assert {r.obj_label for r in index.index_object_labels(q, q).collect()} == {"Hub"}
