@@ -11,26 +11,27 @@ With four differing bits at most over three segments, one of two things holds, a
      the one, a near one of the other, and the piece; either may give its own.
 Keys have 30 to 35 bits that tell fingerprints apart, so few meet by chance. What meets is verified.
 
-Thousands of near copies must not become millions of pairs, so fingerprints are joined in three rounds. First those that differ in
-one group of four bits (at most 16 share the rest), which are linked whatever they are. Then every fingerprint is held against the
-smallest and the largest of each of its keys. Last, all pairs of a key are compared that are not in one component yet, without those
-within the key's commonest component. Exact: a pair that is not compared is in one component already.
+Rows are dealt and sorted by key, so that the fingerprints of a key follow each other, and only true links leave a key's group: a tree
+for each set that hangs together, never all pairs. A group of more than BLOCK fingerprints is compared in blocks, so a row is never held
+against more than BLOCK others; what such a group may still hide is found by midpoints. Two fingerprints differ in four bits at most
+exactly if a word is within two bits of either, so each fingerprint of such a group goes to all 2,081 words around it, and all that meet
+at a word are linked. The work is at most BLOCK comparisons a key and 2,081 words a fingerprint, however large the groups are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadloom.llm.components import components
-from quadloom.llm.shared import forget, stored
+from quadloom.llm.shared import stored
 
 LENGTH, CHECKS = 23, 11
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, the generator of the code (a fixed value).
@@ -38,6 +39,10 @@ GENERATOR = 0b110001110101
 #: First bit and length of the segments.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 BITS = 4
+#: Fingerprints of one key that are compared with each other; it takes about as long as their midpoints would.
+BLOCK = 4096
+#: Fingerprints that one task finds the keys of.
+KEYED_ROWS = 10_000
 
 
 @lru_cache(1)
@@ -108,8 +113,8 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     several = [np.flatnonzero(n[:, 1] != n[:, 0]) for n in near]
     everyone, rows, out = np.arange(len(fp)), [], []
 
-    def add(kind: int, fixed: np.ndarray, place: int, other: int) -> None:
-        for k in range(6):
+    def add(kind: int, fixed: np.ndarray, place: int, other: int, start: int = 0) -> None:
+        for k in range(start, 6):
             who = several[other] if k else everyone
             rows.append(who)
             out.append(fixed[who] | near[other][who, k] << place | np.int64(kind) << 58)
@@ -125,7 +130,7 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             # the number of the piece stands above the piece, the number of the third segment in the kind
             piece = (segments[third] >> k * width & (1 << width) - 1 | k << 8) << 2 * LENGTH
             add(9 + third, piece | near[first][:, 0], LENGTH, second)
-            add(9 + third, piece | near[second][:, 0] << LENGTH, 0, first)
+            add(9 + third, piece | near[second][:, 0] << LENGTH, 0, first, 1)  # both own ones are there already
     return np.concatenate(rows), np.concatenate(out)
 
 
@@ -137,8 +142,64 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(fp[rows])], names=["key", "fp"])
 
 
-def close(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
+def tree_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): the links of a tree for each set of fps that hangs together. What is linked is not compared with the rest of its set
+    again."""
+    left, us, vs = fp, [fp[:0]], [fp[:0]]
+    while len(left) > 1:
+        near, left = left[:1], left[1:]
+        while len(near) and len(left):
+            some, near = near[:256], near[256:]
+            linked = np.bitwise_count((left[:, None] ^ some).view(np.uint64)) <= BITS
+            hit = linked.any(1)
+            us.append(left[hit])
+            vs.append(some[linked[hit].argmax(1)])
+            near, left = np.concatenate((near, left[hit])), left[~hit]
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _group_links(block: int):
+    """From rows sorted by key: the links of each group, block by block, and (fp, null) for each row of a group of several blocks."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = fp = np.zeros(0, np.int64)  # the rows of a last group that may go on, block at most
+        cut = None  # the key of a last group that has been cut
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                key, fp = (np.concatenate((x, batch.column(c).to_numpy())) for x, c in ((key, "key"), (fp, "fp")))
+            if not len(key):
+                continue
+            edges = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+            sizes, opens = np.diff(edges), edges[:-1]
+            whole = batch is None or sizes[-1] > block
+            wanted = np.flatnonzero((sizes > 1) | (key[opens] == cut))
+            us, vs, crowded = [fp[:0]], [fp[:0]], [fp[:0]]
+            for g in wanted[wanted < len(opens) - (not whole)].tolist():
+                group = fp[edges[g] : edges[g + 1]]
+                for start in range(0, len(group), block):
+                    u, v = tree_links(group[start : start + block])
+                    us.append(u)
+                    vs.append(v)
+                if len(group) > block or key[edges[g]] == cut:
+                    crowded.append(group)
+            cut = key[-1] if whole else cut
+            key, fp = (key[:0], fp[:0]) if whole else (key[opens[-1] :], fp[opens[-1] :])
+            us, vs, crowded = np.concatenate(us), np.concatenate(vs), np.unique(np.concatenate(crowded))
+            if len(us) or len(crowded):
+                ends = [pa.array(vs), pa.nulls(len(crowded), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((us, crowded))), pa.concat_arrays(ends)], names=["u", "v"])
+
+    return of
+
+
+def _midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each fp under all words that differ from it in two bits at most."""
+    masks = np.array([0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i, j in combinations(range(64), 2)], np.uint64).view(np.int64)
+    for batch in batches:
+        for start in range(0, len(batch), 200):
+            fp, comp = (batch.column(c).slice(start, 200).to_numpy() for c in ("fp", "comp"))
+            columns = [(fp[:, None] ^ masks).ravel(), np.repeat(comp, len(masks)), np.repeat(fp, len(masks))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "comp", "fp"])
 
 
 def simhash(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
@@ -147,33 +208,26 @@ def simhash(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     return narrow.mapInArrow(_fingerprints(width, seed), "doc_id long, fp long")
 
 
-def free_links(fps: DataFrame) -> DataFrame:
-    """(u, v) for distinct fps that differ within one group of four bits: a star for each group of at most 16."""
-    groups = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(-1 ^ (15 << 4 * i) if i < 15 else (1 << 60) - 1)).alias("rest")) for i in range(16)])
-    alike = fps.select("fp", F.explode(groups).alias("x")).groupBy("x").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    return alike.select(F.explode("fps").alias("u"), F.array_min("fps").alias("v")).filter("u <> v")
+def midpoint_links(fps: DataFrame) -> DataFrame:
+    """(u, v): links between fps of different components (fp, comp: long) that join all components with a link between them."""
+    at_word = Window.partitionBy("word").orderBy("comp", "fp")
+    met = fps.mapInArrow(_midpoints, "word long, comp long, fp long")
+    met = met.withColumn("before", F.lag(F.struct("comp", "fp")).over(at_word)).filter("before.comp <> comp")
+    return met.groupBy("comp", F.col("before.comp").alias("other")).agg(F.min(F.struct("fp", "before.fp")).alias("x")).select("x.*").toDF("u", "v")
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
+def fingerprint_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """(u, v): true links between distinct fps (fp long) that join every two fps of at most four differing bits, if not directly
     then over others."""
-    keyed = fps.select("fp").mapInArrow(_keyed, "key long, fp long")
-    ends = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
-    met = stored(keyed.join(ends, "key"), "met")
-    stars = [met.select(F.col("fp").alias("u"), F.col(c).alias("v")).filter(F.col("u") != F.col("v")).filter(close("u", "v")) for c in ("low", "high")]
-    early = stored(free_links(fps).union(stars[0]).union(stars[1]).distinct(), "early")
-    comps = stored(components(early), "comps")
-    rows = met.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"))
-    rows = stored(rows.distinct(), "rows")
-    sizes = rows.groupBy("key", "comp").count()
-    mixed = sizes.groupBy("key").agg(F.max_by("comp", "count").alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("key", "most")
-    rest = stored(rows.join(mixed, "key"), "rest")
-    one = rest.filter(F.col("comp") != F.col("most")).select("key", F.col("fp").alias("u"), F.col("comp").alias("comp_u"))
-    two = rest.select("key", F.col("fp").alias("v"), F.col("comp").alias("comp_v"))
-    late = one.join(two, "key").filter((F.col("comp_u") != F.col("comp_v")) & close("u", "v")).groupBy("comp_u", "comp_v").agg(F.min(F.struct("u", "v")).alias("x"))
-    out = stored(early.union(late.select("x.u", "x.v")), "links")
-    forget(met, early, comps, rows, rest)
-    return out
+    keyed = fps.select("fp").repartition(-(-fps.count() // KEYED_ROWS) or 1, "fp").mapInArrow(_keyed, "key long, fp long")
+    found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_group_links(block), "u long, v long")
+    found = stored(found.distinct(), "links")
+    links, crowded = found.filter("v is not null"), found.filter("v is null").select(F.col("u").alias("fp"))
+    if crowded.isEmpty():
+        return links
+    comps = components(links).withColumnRenamed("node", "fp")
+    late = stored(midpoint_links(crowded.join(comps, "fp", "left").select("fp", F.coalesce("component", "fp").alias("comp"))), "links")
+    return links.union(late)
 
 
 def fingerprint_classes(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:

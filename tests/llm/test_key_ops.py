@@ -10,6 +10,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -180,6 +181,83 @@ def test_links_of_a_dense_cluster(spark):
     assert [root(i) for i in range(len(rows))] == classes(rows)
 
 
+def signed_frame(spark, fps):
+    return spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+
+
+@pytest.mark.parametrize("block", [3, 40])
+def test_links_of_groups_larger_than_a_block(spark, block):
+    """Groups of many times the block: what a key's blocks keep apart is joined over midpoints."""
+    rng = np.random.default_rng(block)
+    fps = {0x0F0F, 0x0F0F << 40}
+    while len(fps) < 700:
+        fp = 0xFEDCBA9876543210
+        for bit in rng.choice(36, int(rng.integers(0, 13)), replace=False):
+            fp ^= 1 << int(bit)
+        fps.add(fp)
+    fps = sorted(fps)
+    links = golay.fingerprint_links(signed_frame(spark, fps), block).collect()
+    pairs = [(r.u & (1 << 64) - 1, r.v & (1 << 64) - 1) for r in links]
+    assert all(0 < (u ^ v).bit_count() <= 4 for u, v in pairs)
+    number = {f: i for i, f in enumerate(fps)}
+    least = list(range(len(fps)))
+    for _ in fps:
+        before = list(least)
+        for u, v in pairs:
+            least[number[u]] = least[number[v]] = min(least[number[u]], least[number[v]])
+        if least == before:
+            break
+    want = classes(list(enumerate(fps)))
+    assert least == want and 20 < len(set(want)) < 600
+
+
+def test_group_links_over_batches():
+    """Groups that end, go on or are cut where a batch ends give the same trees and the same crowded rows."""
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 7, 8, 9, 1, 30, 1, 1, 16, 17, 3]
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    fp = np.concatenate([rng.choice(1 << 12, n, replace=False) for n in sizes]).astype(np.int64)
+    many = np.array(sizes)[key] > 8
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp)], names=["key", "fp"])
+    for step in (1, 2, 3, 8, 9, 50, 1000):
+        rows = [r for out in golay._group_links(8)(batch.slice(i, step) for i in range(0, len(key), step)) for r in out.to_pylist()]
+        assert {r["u"] for r in rows if r["v"] is None} == set(fp[many].tolist())
+        linked = {frozenset(r.values()) for r in rows if r["v"] is not None}
+        for k in np.flatnonzero(np.array(sizes) <= 8).tolist():
+            group = fp[key == k].tolist()
+            got = classes([(i, f) for i, f in enumerate(group)])
+            trees = sum(frozenset(p) in linked for p in combinations(group, 2))
+            assert trees >= len(group) - len(set(got))
+        assert all((max(x) ^ min(x)).bit_count() <= 4 for x in linked)
+
+
+def join_rows(spark, run):
+    """Rows that the joins of a run put out, and the number of rows that run returns."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    first = store.executionsCount()
+    out, total = run(), 0
+    for i in range(first, store.executionsCount()):
+        execution = store.executionsList().apply(i)
+        values = store.executionMetrics(execution.executionId())
+        nodes = store.planGraph(execution.executionId()).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            metrics = (node.metrics().apply(j) for j in range(node.metrics().size()) if "Join" in node.name())
+            total += sum(int(values.get(m.accumulatorId()).get().replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return total, out
+
+
+def test_far_fingerprints_of_a_key_make_no_rows(spark):
+    """Fingerprints that share keys and are not linked leave no rows: no key's group is joined with itself or its ends."""
+    rng = np.random.default_rng(9)
+    fps = []
+    while len(fps) < 400:
+        fp = 0x123456 | int(rng.integers(0, 1 << 20)) << 23 | int(rng.integers(0, 1 << 4)) << 60
+        if all((fp ^ other).bit_count() > 4 for other in fps):
+            fps.append(fp)
+    rows, found = join_rows(spark, lambda: golay.fingerprint_links(signed_frame(spark, fps)).count())
+    assert found == 0 and rows < len(fps)
+
+
 def test_simhash_odd_rows(spark):
     assert golay.fingerprint_classes(odd_rows(spark, [])).count() == 0
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in golay.fingerprint_classes(odd_rows(spark, ODD)).collect()}
