@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,3 +37,9 @@ def written(df: DataFrame, name: str = "rows") -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, name: str = "rows", max_rows: int = 50_000) -> DataFrame:
+    """df written once, to be broadcast if it has max_rows at most; else joins are Spark's choice."""
+    out = written(df, name)
+    return F.broadcast(out) if out.count() <= max_rows else out

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.model import OBJECT, PART_OF, PREDICATE, STATEMENT, SUBJECT, TYPE
+from quadloom.operators.lineage import few
 
 
 def read_records(quads: DataFrame, keys: DataFrame) -> DataFrame:
@@ -18,10 +19,12 @@ def read_records(quads: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def read_records_anywhere(quads: DataFrame, uris: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Quads of uris (s) over the readable datasets (g); equal triples stand once, with the first dataset."""
-    rows = quads.join(datasets.select("g").distinct(), "g", "left_semi").join(uris.select("s").distinct(), "s", "left_semi")
-    first = Window.partitionBy("s", "p", "o").orderBy("g", "pos")
-    return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    """Quads of uris (s) over the readable datasets (g); equal triples stand once, with the first dataset. The datasets are
+    counted first, and quads are not dealt by them while they are few; quads move once, by subject, and are not sorted by dataset."""
+    rows = quads.join(few(datasets.select("g").distinct(), "datasets"), "g", "left_semi").join(uris.select("s").distinct(), "s", "left_semi")
+    rest = F.struct(*[c for c in quads.columns if c not in ("s", "p", "o")])
+    once = rows.groupBy("s", "p", "o").agg(F.min_by(rest, F.struct("g", "pos")).alias("_first"))
+    return once.select("s", "p", "o", "_first.*").select(*quads.columns)
 
 
 def keep_language(quads: DataFrame, lang: str | None) -> DataFrame:

@@ -305,3 +305,16 @@ def test_references_and_mapping_triples(spark):
     assert [(r.o, r.o_kind) for r in mapping.resolve_references(rows, "ds/", {"x": "http://x.org/"}).collect()] == [("http://x.org/a", "uri"), ("ds/b", "uri"), ("c", "literal")]
     linkage = spark.createDataFrame([("type", "http://x.org/T", "http://o.org/C"), ("attribute", "name", "http://o.org/p")], "kind string, name string, map_to string")
     assert [tuple(r) for r in mapping.mapping_triples(linkage).collect()] == [("http://x.org/T", f"{RDFS}subClassOf", "http://o.org/C")]
+
+
+def test_reads_anywhere_move_quads_once_and_take_the_first_dataset(spark):
+    rows = [(g, "a", "p", o, "literal", None, None, k) for k, (g, o) in enumerate([("g2/", "x"), ("g1/", "x"), ("g1/", "x"), ("closed/", "y"), ("g2/", "z" * 5000)])]
+    q = spark.createDataFrame([*rows, ("g1/", "other", "p", "x", "literal", None, None, 0)], QUADS)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = records.read_records_anywhere(q, spark.createDataFrame([("a",), ("a",)], "s string"), spark.createDataFrame([("g1/",), ("g2/",)], "g string"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert out.columns == q.columns and "hashpartitioning(g" not in plan and "Window" not in plan
+    assert values(out, "g", "s", "o", "pos") == [("g1/", "a", "x", 1), ("g2/", "a", "z" * 5000, 4)]
