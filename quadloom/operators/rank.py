@@ -50,17 +50,30 @@ def boost(docs: DataFrame, types: dict[str, float] | None = None, datasets: dict
 
 
 def boost_phrase(fields: DataFrame, query: str, attr_weights: dict[str, float], slop: int = 0) -> DataFrame:
-    """(uid, boost): weight for each value in which all query words stand within a window of their number plus slop."""
+    """(uid, boost): weight for each value in which all query words stand within a window of their number plus slop. Only places
+    of query words are compared, each with those that follow within the window; values without all words are not cut into words."""
     words = query_words(query)
     width = len(words) + slop
-    rows = fields.filter(F.col("attr").isin(list(attr_weights))).select("uid", "attr", tokens(F.col("value")).alias("w"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))
-    near = F.exists(starts, lambda i: F.size(F.array_except(F.array(*map(F.lit, words)), F.slice("w", i, width))) == 0)
+    rows = fields.filter(F.col("attr").isin(list(attr_weights)))
+    for word in sorted(set(words)):
+        rows = rows.filter(F.lower("value").contains(word))
+    # a row is cut into words once: what stands behind an explode is not computed again by filters
+    rows = rows.select("uid", "attr", F.explode(F.array(tokens(F.col("value")))).alias("w")).filter(F.size("w") > 0)
+    if words:
+        wanted = F.array(*map(F.lit, sorted(set(words))))
+        places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains(wanted, F.get("w", i)))
+        hits = rows.select("uid", "attr", "w", F.explode(F.array(places)).alias("at")).filter(F.size("at") > 0)
+        hits = hits.select("uid", "attr", "at", F.explode(F.array(F.transform("at", lambda i: F.get("w", i)))).alias("word"))
+
+        def near(k: Column) -> Column:
+            after = F.filter(F.sequence(k, F.least(k + width, F.size("at")) - 1), lambda j: F.get("at", j) < F.get("at", k) + width)
+            return F.size(F.array_except(wanted, F.transform(after, lambda j: F.get("word", j)))) == 0
+
+        rows = hits.filter(F.exists(F.sequence(F.lit(0), F.size("at") - 1), near))
     weight: Column = F.lit(0.0)
     for attr, w in attr_weights.items():
         weight = F.when(F.col("attr") == attr, F.lit(float(w))).otherwise(weight)
-    hits = rows.filter((F.size("w") > 0) & near).select("uid", "attr", weight.alias("w")).distinct()
-    return hits.groupBy("uid").agg(F.sum("w").alias("boost"))
+    return rows.select("uid", "attr", weight.alias("w")).distinct().groupBy("uid").agg(F.sum("w").alias("boost"))
 
 
 def boost_near(docs: DataFrame, lat: float, long: float, floor_km: float = 0.1) -> DataFrame:
