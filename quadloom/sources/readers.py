@@ -42,11 +42,14 @@ def parse_ntriples(lines: DataFrame, graph: str) -> tuple[DataFrame, DataFrame]:
     """(quads, errors) of lines (value, pos; file, if blank nodes of several files are to be kept apart): blank lines and comments
     are skipped, malformed lines and unknown escapes are errors."""
     lines = lines.filter(~F.col("value").rlike("^\\s*(#.*)?$"))
-    part = [F.nullif(F.regexp_extract("value", TRIPLE, k), F.lit("")) for k in range(1, 9)]
-    quoted = F.regexp_extract("value", TRIPLE, 6)
+    # one match a line: no group holds a line break, so breaks keep the groups apart; behind an explode nothing is matched again
+    groups = F.when(F.col("value").rlike(TRIPLE), F.split(F.regexp_replace("value", TRIPLE, "$1\n$2\n$3\n$4\n$5\n$7\n$8\n$6"), "\n"))
+    lines = lines.withColumn("_groups", F.explode(F.array(groups)))
+    found = [F.get("_groups", F.lit(k)) for k in (0, 1, 2, 3, 4, 7, 5, 6)]
+    part, quoted = [F.nullif(x, F.lit("")) for x in found], F.coalesce(found[5], F.lit(""))
     # what is left without escapes holds no quote and no backslash
     bare = F.regexp_replace(F.concat_ws(" ", part[0], part[2], part[3], part[7], quoted), ESCAPE, "")
-    good = F.col("value").rlike(TRIPLE) & ~bare.contains('"') & ~bare.contains("\\")
+    good = F.col("_groups").isNotNull() & ~bare.contains('"') & ~bare.contains("\\")
     uri, blank = unescape(part[3]), part[4]
     kind = F.when(uri.isNotNull(), "uri").when(blank.isNotNull(), "bnode").otherwise("literal")
     if "file" in lines.columns:

@@ -131,3 +131,14 @@ def test_linked_json_is_json(spark):
     held = quads(spark, [('http://g/a"b\\', "http://p/name", 'say "x"'), ("g/in", "http://p/name", "y")])
     lines = [json.loads(r.value) for r in writers.linked_json_lines(held, spark.createDataFrame([], "name string, map_to string")).collect()]
     assert sorted(x["id"] for x in lines) == ['http://g/a"b\\', "in"] and sorted(x["name"][0] for x in lines) == ['say "x"', "y"]
+
+
+def test_a_line_of_triples_is_matched_once(spark):
+    line = '<http://s> <http://p> "a \\\\ \\" b ' + "word " * 50_000 + '"@en .'
+    frame = spark.createDataFrame([(line, 0), ("_:a <p> _:b . # c", 1), ("\n<s>\n<p>\n<o>\n.\n", 2), ("a\nb\nc\nd\ne\nf\ng\nh", 3), ("", 4)], "value string, pos long")
+    good, bad = readers.parse_ntriples(frame, "g")
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\.\\s*(?:#.*)?$") == 2 and "regexp_extract(value" not in plan
+    got = {r.pos: (r.s, r.p, r.o, r.o_kind, r.o_lang) for r in good.collect()}
+    assert got == {0: ("http://s", "http://p", 'a \\ " b ' + "word " * 50_000, "literal", "en"), 1: ("_:a", "p", "_:b", "bnode", None), 2: ("s", "p", "o", "uri", None)}
+    assert [r.pos for r in bad.collect()] == [3]
