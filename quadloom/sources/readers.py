@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quadloom.functions.uris import is_valid_iri
 from quadloom.model import PART_OF, TYPE
+from quadloom.operators.lineage import written
 
 #: A quote that no odd run of backslashes stands before.
 _CLOSE = '"(?<!(?<!\\\\)(?:\\\\\\\\){0,99}\\\\")'
@@ -74,11 +75,22 @@ SUBJECT_XML = "_type string, _uri string, predicate array<struct<_type:string,ob
 
 def parse_record_xml(subjects: DataFrame, prefixes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(quads, statements) of subjects (columns of SUBJECT_XML, pos). The dataset is the record's isPartOf, else
-    'unspecified'. reify stands inside URI objects and beside literals; all of them are kept."""
-    types = subjects.select(F.col("_uri").alias("s"), F.lit(TYPE).alias("p"), F.struct(F.lit(None).cast("string").alias("_VALUE"), F.col("_type").alias("_uri"), F.lit(None).cast("string").alias("_type"), F.lit(None).cast("string").alias("_lang")).alias("x"), F.lit(0).alias("pos"), F.array().cast("array<struct<_type:string,_value:string>>").alias("meta")).filter("x._uri IS NOT NULL")
-    per = subjects.select(F.col("_uri").alias("s"), F.posexplode("predicate").alias("k", "q")).select("s", F.col("q._type").alias("p"), (F.col("k") + 1).alias("pos"), F.col("q.reify").alias("beside"), F.explode("q.object").alias("x"))
-    per = per.select("s", "p", F.struct("x._VALUE", "x._uri", "x._type", "x._lang").alias("x"), "pos", F.coalesce(F.concat(F.coalesce("beside", F.array()), F.coalesce("x.reify", F.array())), F.array()).alias("meta"))
-    rows = types.unionByName(per)
+    'unspecified'. reify stands inside URI objects and beside literals; all of them are kept. Subjects are parsed once and
+    written into the shared folder, as both results read them twice."""
+    subjects = written(subjects.select("_type", "_uri", "predicate"), "subjects")
+    none, no_meta = F.lit(None).cast("string"), F.array().cast("array<struct<_type:string,_value:string>>")
+
+    def entry(p: Column, x: Column, pos: Column, meta: Column) -> Column:
+        return F.struct(p.alias("p"), x.alias("x"), pos.alias("pos"), meta.alias("meta"))
+
+    def objects(q: Column, k: Column) -> Column:
+        beside = F.coalesce(q["reify"], no_meta)
+        return F.transform(F.coalesce(q["object"], F.array()), lambda x: entry(q["_type"], F.struct(x["_VALUE"], x["_uri"], x["_type"], x["_lang"]), k + 1, F.concat(beside, F.coalesce(x["reify"], no_meta))))
+
+    own = F.struct(none.alias("_VALUE"), F.col("_type").alias("_uri"), none.alias("_type"), none.alias("_lang"))
+    types = F.when(F.col("_type").isNotNull(), F.array(entry(F.lit(TYPE), own, F.lit(0), no_meta)))
+    listed = F.flatten(F.transform("predicate", objects))
+    rows = subjects.select(F.col("_uri").alias("s"), F.inline(F.concat(F.coalesce(types, F.array()), F.coalesce(listed, F.array()))))
     if prefixes is not None:
         for c in ("p",):
             m = prefixes.select(F.col("prefix"), F.col("uri").alias("_base"))

@@ -332,3 +332,13 @@ def test_phrases_compare_only_places_of_query_words(spark):
         want = {u for u, w in words.items() if any(wanted <= set(w[i : i + width]) for i in range(len(w)))}
         assert {r.uid for r in rank.boost_phrase(fields, query, {"a": 2.0}, slop).collect()} == want, query
     assert rank.boost_phrase(fields, "", {"a": 2.0}).count() == sum(1 for w in words.values() if w)
+
+
+def test_record_xml_is_parsed_once_for_both_results(spark):
+    xml = ['<subject uri="a" type="T"><predicate type="http://purl.org/dc/terms/isPartOf"><object uri="g2"/><object uri="g1"/></predicate><predicate type="p"><object uri="b"><reify type="m" value="1"/></object><object>x</object><reify type="n" value="2"/></predicate></subject>',
+           '<subject uri="a"><predicate type="q"></predicate><predicate type="p"><object>y</object></predicate></subject>', '<subject uri="c"></subject>']
+    subjects = spark.createDataFrame([(x,) for x in xml], "value string").select(F.from_xml("value", readers.SUBJECT_XML).alias("x")).select("x.*")
+    out = readers.parse_record_xml(subjects)
+    assert not any("xml" in df._jdf.queryExecution().optimizedPlan().toString().replace("record_xml", "") for df in out)
+    assert values(out[0], "g", "s", "p", "o", "o_kind", "pos") == [("g1", "a", TYPE, "T", "uri", 0), ("g1", "a", "p", "b", "uri", 2), ("g1", "a", "p", "x", "literal", 2), ("g1", "a", "p", "y", "literal", 2)]
+    assert values(out[1], "o", "rei_p", "rei_o") == [("b", "m", "1"), ("b", "n", "2"), ("x", "n", "2")]
