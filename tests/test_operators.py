@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quadloom.functions import uris
 from quadloom.functions.stemming import stem
-from quadloom.model import LABEL, LAT, LONG, QUADS, RDFS, STATEMENTS, TYPE
+from quadloom.model import LABEL, LAT, LONG, QUADS, RDFS, STATEMENT, STATEMENTS, TYPE
 from quadloom.operators import access, index, mapping, ontology, patterns, rank, records, revisions, search, tagging, writes
 from quadloom.plans.fixtures import DS, ONTO, Tables
 from quadloom.sinks import writers
@@ -342,3 +342,13 @@ def test_record_xml_is_parsed_once_for_both_results(spark):
     assert not any("xml" in df._jdf.queryExecution().optimizedPlan().toString().replace("record_xml", "") for df in out)
     assert values(out[0], "g", "s", "p", "o", "o_kind", "pos") == [("g1", "a", TYPE, "T", "uri", 0), ("g1", "a", "p", "b", "uri", 2), ("g1", "a", "p", "x", "literal", 2), ("g1", "a", "p", "y", "literal", 2)]
     assert values(out[1], "o", "rei_p", "rei_o") == [("b", "m", "1"), ("b", "n", "2"), ("x", "n", "2")]
+
+
+def test_statements_are_combined_before_their_triples_are_made(spark):
+    rows = [("a", "p", "o", {"m": ["1", None], "n": ["1"]}), ("a", "p", "o", {"m": ["1", "2"], TYPE: [STATEMENT]}), ("ap", "", "o", {"m": ["1"]}), ("b", "p", "o", {}), ("c", "p", "o", None), ("d", "p", None, {"m": ["1"]})]
+    made = spark.createDataFrame(rows, "s string, p string, o string, meta map<string,array<string>>")
+    out = mapping.reify_statements(made.filter("o IS NOT NULL"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    rdf = TYPE.removesuffix("type")
+    want = [(TYPE, STATEMENT), *((f"{rdf}subject", s) for s in ("a", "ap")), *((f"{rdf}predicate", p) for p in ("p", "")), (f"{rdf}object", "o"), ("m", "1"), ("m", "2"), ("m", None), ("n", "1")]
+    assert values(out, "rei_p", "rei_o") == sorted(want, key=str) and out.select("stmt").distinct().count() == 1
