@@ -352,3 +352,12 @@ def test_statements_are_combined_before_their_triples_are_made(spark):
     rdf = TYPE.removesuffix("type")
     want = [(TYPE, STATEMENT), *((f"{rdf}subject", s) for s in ("a", "ap")), *((f"{rdf}predicate", p) for p in ("p", "")), (f"{rdf}object", "o"), ("m", "1"), ("m", "2"), ("m", None), ("n", "1")]
     assert values(out, "rei_p", "rei_o") == sorted(want, key=str) and out.select("stmt").distinct().count() == 1
+
+
+def test_statement_lines_are_made_after_statements_are_combined(spark):
+    rows = [("g", "m", "http://s", "p", 'say "x"', "by", o) for o in ("me", "you", "me", None)] + [("g", "m", "http://sp", "", 'say "x"', "by", "me"), ("g", "m", "_:s", "p", "http://o", "by", 'a\nb'), ("g", "m", None, "p", "o", "by", "x")]
+    out = writers.ntriples_lines(quads(spark, []), spark.createDataFrame(rows, STATEMENTS))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    lines = sorted(r.value.split(" ", 1)[1].removeprefix("<http://www.w3.org/1999/02/22-rdf-syntax-ns#") for r in out.collect())
+    said = ['object> "say \\"x\\"" .', "predicate> <> .", "predicate> <p> .", "subject> <http://s> .", "subject> <http://sp> .", "type> <http://www.w3.org/1999/02/22-rdf-syntax-ns#Statement> .", '<by> "me" .', '<by> "you" .']
+    assert lines == sorted([*said, "object> <http://o> .", "predicate> <p> .", "subject> _:s .", "type> <http://www.w3.org/1999/02/22-rdf-syntax-ns#Statement> .", '<by> "a\\nb" .'])
