@@ -361,3 +361,13 @@ def test_statement_lines_are_made_after_statements_are_combined(spark):
     lines = sorted(r.value.split(" ", 1)[1].removeprefix("<http://www.w3.org/1999/02/22-rdf-syntax-ns#") for r in out.collect())
     said = ['object> "say \\"x\\"" .', "predicate> <> .", "predicate> <p> .", "subject> <http://s> .", "subject> <http://sp> .", "type> <http://www.w3.org/1999/02/22-rdf-syntax-ns#Statement> .", '<by> "me" .', '<by> "you" .']
     assert lines == sorted([*said, "object> <http://o> .", "predicate> <p> .", "subject> _:s .", "type> <http://www.w3.org/1999/02/22-rdf-syntax-ns#Statement> .", '<by> "a\\nb" .'])
+
+
+def test_quads_move_once_to_their_record(spark):
+    rows = [("a", "p", "2", "literal", None, 3), ("a", "p", "1", "literal", None, 9), ("a", "p", "2", "literal", None, 1), ("a", "p", "2", "literal", "en", 1), ("a", "p", "2", "uri", None, 2), ("a", TYPE, "T", "uri", None, 5), ("a", TYPE, "S", "uri", None, 4), ("b", LABEL, "z", "literal", None, 2), ("b", LABEL, "y", "literal", None, 3)]
+    q = quads(spark, rows).unionByName(spark.createDataFrame([("g/", "a", "p", "1", "literal", None, None, None)], QUADS))
+    out = mapping.quads_to_records(q)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    a, b = sorted(out.collect(), key=lambda r: r.s)
+    assert [(v.value, v.uri, v.lang) for v in a.attributes["p"]] == [("2", None, None), ("2", None, "en"), (None, "2", None), ("1", None, None)]
+    assert (a.types, a.pref_label, b.pref_label, b.types, b.attributes) == (["S", "T"], "a", "z", [], {})
