@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.operators.access import accessible_datasets
-from quadloom.operators.mapping import quads_to_records
+from quadloom.operators.mapping import described_records, quads_to_records
 
 Pattern = tuple[str, str, str]
 
@@ -105,12 +105,19 @@ def bindings_to_records(bindings: DataFrame) -> DataFrame:
     """Rows with s, p, o, g, otype, olang (and rei_s, rei_p, rei_o) as nested records; statements meet their triple by the
     md5 of its three parts."""
     kind = F.when(F.col("otype") == "uri", "uri").otherwise("literal")
-    quads = bindings.select("g", "s", "p", "o", kind.alias("o_kind"), F.when(F.col("otype") != "uri", F.col("otype")).alias("o_type"), F.col("olang").alias("o_lang"), F.lit(0).cast("long").alias("pos")).distinct()
+    columns = ["g", "s", "p", "o", kind.alias("o_kind"), F.when(F.col("otype") != "uri", F.col("otype")).alias("o_type"), F.col("olang").alias("o_lang"), F.lit(0).cast("long").alias("pos")]
     if "rei_p" not in bindings.columns:
-        return quads_to_records(quads)
-    said = bindings.filter("rei_p IS NOT NULL").select(F.col("rei_s").alias("stmt"), "rei_p", "rei_o").distinct()
-    keyed = quads.select("s", "p", "o", F.md5(F.concat("s", "p", "o")).alias("stmt")).distinct()
-    return quads_to_records(quads, said.join(keyed, "stmt"))
+        return quads_to_records(bindings.select(*columns).distinct())
+    # a row gives its triple and, if it is about another one, that one's statement; both meet under the statement's name
+    name = F.md5(F.concat("s", "p", "o"))
+    pair = F.when(F.col("rei_p").isNotNull(), F.struct("rei_p", "rei_o"))
+    rows = bindings.select(F.struct(*columns).alias("quad"), name.alias("name"), "rei_s", pair.alias("pair"), F.coalesce(name, F.concat(F.lit("-"), F.xxhash64("g", "s", "p", "o").cast("string"))).alias("key"))
+    about = F.col("rei_s") == F.col("name")
+    own = F.struct("key", "quad", F.when(about, F.col("pair")).alias("pair"))
+    other = F.when(F.col("pair").isNotNull() & F.col("rei_s").isNotNull() & ~F.coalesce(about, F.lit(False)), F.struct(F.col("rei_s").alias("key"), F.when(F.lit(False), F.col("quad")).alias("quad"), "pair"))
+    met = rows.select(F.inline(F.filter(F.array(own, other), lambda x: x.isNotNull()))).groupBy("key").agg(F.collect_set("quad").alias("quads"), F.collect_set("pair").alias("pairs"))
+    listed = F.transform(F.array_sort(F.array_distinct("pairs.rei_p")), lambda p: F.struct(p.alias("rei_p"), F.sort_array(F.transform(F.filter("pairs", lambda x: (x["rei_p"] == p) & x["rei_o"].isNotNull()), lambda x: x["rei_o"])).alias("v")))
+    return described_records(met.select(F.when(F.size("pairs") > 0, F.map_from_entries(listed)).alias("reify"), F.inline("quads")))
 
 
 def check_graph_access(graphs: DataFrame, access: DataFrame, memberships: DataFrame, user: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -371,3 +372,13 @@ def test_quads_move_once_to_their_record(spark):
     a, b = sorted(out.collect(), key=lambda r: r.s)
     assert [(v.value, v.uri, v.lang) for v in a.attributes["p"]] == [("2", None, None), ("2", None, "en"), (None, "2", None), ("1", None, None)]
     assert (a.types, a.pref_label, b.pref_label, b.types, b.attributes) == (["S", "T"], "a", "z", [], {})
+
+
+def test_bindings_meet_their_statements_in_one_sum(spark):
+    md5 = lambda *x: hashlib.md5("".join(x).encode()).hexdigest()
+    made = [("g", "s", "p", "o", "uri", None, md5("spo"), "by", v) for v in ("2", "1", "2", None)] + [("g", "s", "p", "x", None, "en", None, None, None), ("g", "t", "p", "y", None, None, md5("spx"), "by", "far"), ("g", "t", "p", None, None, None, md5("none"), "by", "lost")]
+    bindings = spark.createDataFrame(made, "g string, s string, p string, o string, otype string, olang string, rei_s string, rei_p string, rei_o string")
+    out = patterns.bindings_to_records(bindings)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    got = {r.s: [(v.value or v.uri, v.reify) for v in r.attributes["p"]] for r in out.collect()}
+    assert got == {"s": [("o", '{"by":["1","2"]}'), ("x", '{"by":["far"]}')], "t": [(None, None), ("y", None)]}
