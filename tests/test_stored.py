@@ -184,3 +184,13 @@ def test_classes_of_a_long_chain_and_a_large_star(spark):
     got = {r.node: r.least for r in equivalence_classes(chain.union(star).union(odd)).collect()}
     assert got == {f"a{i:05d}": "a00000" for i in range(n + 1)} | {f"b{i:05d}": "b00000" for i in range(n)} | {"p": "p", "q": "p"}
     assert equivalence_classes(odd.limit(0)).count() == 0
+
+
+def test_a_store_may_keep_one_index_table_alone(spark):
+    data = [("g/", f"r{i}", "near", f"r{i + 1}", "uri", None, None, 1) for i in range(9)] + [("g/", f"r{i}", LABEL, f"n{i}", "literal", None, None, 0) for i in range(10)]
+    none, properties = spark.createDataFrame([], STATEMENTS), spark.createDataFrame([], "uri string, range string, max_card int")
+    closure, path = class_closure(spark.createDataFrame(CLASSES, "sub string, super string")), new_folder(spark, "test")
+    store = maintain.create_store(spark.createDataFrame(data, QUADS), none, properties, closure, ["en"], path, 1, 1, ("docs",))
+    store = maintain.apply_changes(store, none.select("g", "s"), spark.createDataFrame([("g/", "r9", LABEL, "new", "literal", None, None, 0)], QUADS), properties, closure)
+    assert store.fields is None
+    assert {r.pref_label for r in store.docs.read().select("pref_label").collect()} == {*(f"n{i}" for i in range(9)), "new"}
